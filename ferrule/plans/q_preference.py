@@ -10,7 +10,7 @@ from ferrule.plans import oracle_sql as O
 from ferrule.plans.catalog import register
 
 _DIST = """
-d AS (SELECT pair_id, src, reference, candidate, candidate_2,
+d AS MATERIALIZED (SELECT pair_id, src, reference, candidate, candidate_2,
              levenshtein(candidate, reference) AS d1, levenshtein(candidate_2, reference) AS d2 FROM f1)"""
 
 
@@ -56,7 +56,7 @@ _LONG = """
 lc AS (SELECT pair_id, 1 AS cand_id, candidate AS text, reference FROM f1
        UNION ALL SELECT pair_id, 2, candidate_2, reference FROM f1
        UNION ALL SELECT pair_id, 3, source, reference FROM f1),
-ld AS (SELECT pair_id, cand_id, text, levenshtein(text, reference) AS dist FROM lc),
+ld AS MATERIALIZED (SELECT pair_id, cand_id, text, levenshtein(text, reference) AS dist FROM lc),
 lr AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY dist, cand_id) AS rb,
               row_number() OVER (PARTITION BY pair_id ORDER BY dist DESC, cand_id) AS rw FROM ld)"""
 
