@@ -84,3 +84,16 @@ def q_model_side_by_side(spark, sf_dir):
     items = F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("output")) for m in models])
     long = f1.select("pair_id", F.explode(items).alias("x")).select("pair_id", "x.model", "x.output")
     return P.side_by_side(long, models)
+
+
+@register("q_candidates")
+def q_candidates(spark, sf_dir):
+    """UDF2: candidate generation through the mapInPandas hook (deterministic stand-in model).
+
+    Rows-only check: the hook runs user Python code, which has no SQL form.
+    """
+    from ferrule.functions import udf as U
+    from ferrule.operators.common import balance
+
+    f1 = balance(FX.correction_triples(spark, sf_dir))
+    return U.generate_candidates(f1, U.corrupt_words, "pair_id", "source")
