@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ferrule.functions import arrays as A
 from ferrule.functions import text as T
+from ferrule.operators.common import balance
 from ferrule.sources.tables import read_table
 
 # --- fixed values: domain dimension ------------------------------------------
@@ -45,7 +46,7 @@ def correction_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     word i when (i + id) % 7 == 0, the candidate keeps only the errors with
     % 14 == 0 (half corrected), candidate_2 those with % 21 == 0.
     """
-    docs = read_table(spark, sf_dir, "documents").where(F.col("lang") == "en")
+    docs = balance(read_table(spark, sf_dir, "documents").where(F.col("lang") == "en").select("doc_id", "text"))
     base = docs.select(F.col("doc_id").alias("pair_id"), T.tokens(T.fold_ascii("text")).alias("tok"))
     out = base.select(
         "pair_id",
@@ -112,7 +113,7 @@ def token_nll(spark: SparkSession, sf_dir: str, after: bool = False) -> DataFram
 
 def domain_documents(spark: SparkSession, sf_dir: str, eos: str = T.EOS_TOKEN) -> DataFrame:
     """``(doc_id, domain, domain_id, tokens)``; domain from the source number % 3."""
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    docs = balance(read_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     did = (F.substring("source", 4, 1 << 20).cast("int") % 3).cast("int")
     return docs.select("doc_id", domain_name(did).alias("domain"), did.alias("domain_id"),
                        F.concat(T.tokens(T.fold_ascii("text")), F.array(F.lit(eos))).alias("tokens"))
