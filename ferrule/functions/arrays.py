@@ -55,3 +55,8 @@ def add_at(col, index, delta: float) -> Column:
 
 def array_sum(col) -> Column:
     return F.aggregate(_c(col), F.lit(0.0).cast("double"), lambda acc, x: acc + x)
+
+
+def as_matrix(col) -> Column:
+    """ARR_3: nested numeric arrays as float rows (``array<array<double>>``)."""
+    return _c(col).cast("array<array<double>>")

@@ -28,25 +28,32 @@ def with_expert(rl: DataFrame) -> DataFrame:
     return rl.withColumn("expert", A.argmax("logits"))
 
 
-def routing_counts(rl: DataFrame, layer: int) -> DataFrame:
+def routing_counts(rl: DataFrame, layer: int, max_blocks: int | None = None) -> DataFrame:
     """Real-token counts per (domain_id, expert) at one layer (pads skipped)."""
-    x = with_expert(rl.where((F.col("layer") == layer) & (F.col("domain_id") >= 0)))
+    cond = (F.col("layer") == layer) & (F.col("domain_id") >= 0)
+    if max_blocks is not None:
+        cond = cond & (F.col("block_id") < max_blocks)
+    x = with_expert(rl.where(cond))
     return x.groupBy("domain_id", "expert").agg(F.count(F.lit(1)).alias("n"))
 
 
-def routing_long(rl: DataFrame, layer: int, domains: DataFrame, n_experts: int) -> DataFrame:
+def routing_long(rl: DataFrame, layer: int, domains: DataFrame, n_experts: int,
+                 eps: float | None = None, max_blocks: int | None = None) -> DataFrame:
     """RTR2: ``(domain_id, domain, expert, expert_label, pct)``; every domain x expert cell present.
 
     ``domains`` is the small domain dimension (broadcast); an empty domain
-    gets 0 % everywhere (row sum clamped to 1).
+    gets 0 % everywhere (row sum clamped to 1). RTR4 (notebook form): ``eps``
+    makes the denominator ``row sum + eps`` and ``max_blocks`` limits the
+    input to the first blocks (the notebook's first batches).
     """
-    cnt = routing_counts(rl, layer)
+    cnt = routing_counts(rl, layer, max_blocks)
     grid = F.broadcast(domains).select("domain_id", "domain",
                                        F.explode(F.sequence(F.lit(0), F.lit(n_experts - 1))).alias("expert"))
     cells = grid.join(cnt, ["domain_id", "expert"], "left").fillna(0, subset=["n"])
     tot = cells.groupBy("domain_id").agg(F.sum("n").alias("row_n"))
     out = cells.join(tot, "domain_id")
-    pct = F.lit(100.0) * F.col("n") / F.greatest(F.col("row_n"), F.lit(1))
+    denom = (F.col("row_n") + F.lit(eps)) if eps is not None else F.greatest(F.col("row_n"), F.lit(1))
+    pct = F.lit(100.0) * F.col("n") / denom
     return out.select("domain_id", "domain", "expert", expert_label(F.col("expert")).alias("expert_label"),
                       pct.alias("pct"))
 
