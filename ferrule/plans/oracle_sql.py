@@ -137,7 +137,7 @@ roles AS (
 grams AS (
   SELECT {key}{extra}, role, n,
          unnest(list_transform(range(1, len(tok) - n + 2), lambda i: array_to_string(tok[i : i + n - 1], chr(1)))) AS gram
-  FROM roles, (SELECT unnest(range(1, {max_n + 1})) AS n) nn)"""
+  FROM roles, (SELECT CAST(unnest(range(1, {max_n + 1})) AS INTEGER) AS n) nn)"""
 
 
 def gleu_expr(max_n: int = 4) -> str:

@@ -157,7 +157,8 @@ def q_token_routing(spark, sf_dir):
 , c AS (SELECT block_id, {_AM} AS expert, count(*) AS n FROM f3 WHERE layer = {LAYER} AND mask = 1 GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY block_id ORDER BY n DESC, expert) AS rn,
              sum(n) OVER (PARTITION BY block_id) AS tot FROM c)
-SELECT block_id, expert AS dominant_expert, round(100.0 * n / tot, 6) AS share_pct, tot AS n_tokens FROM r WHERE rn = 1""")
+SELECT block_id, expert AS dominant_expert, round(100.0 * n / tot, 6) AS share_pct, CAST(tot AS BIGINT) AS n_tokens
+FROM r WHERE rn = 1""")
 def q_dominant_expert(spark, sf_dir):
     """RTR11: dominant expert per sentence and its share (ties -> lowest expert)."""
     d = R.dominant_expert(FX.router_logits(spark, sf_dir, layers=(LAYER, LAYER)), LAYER)
