@@ -23,7 +23,6 @@ from ferrule.functions.udf_support import ship_by_value
 from ferrule.llm.common import hash_sample, text_slices
 from ferrule.llm.simhash import word_chunks
 
-BUCKETS = 1 << 22
 BEGINNINGS = (4, 5, 6)
 GRADES = 3
 #: Letters and bytes over 127 make words; everything else parts them.
@@ -37,36 +36,38 @@ def features(text: str | None) -> np.ndarray:
         found.update(words)
     for n in BEGINNINGS:
         found.update([w[:n] + b"-" for w in found if len(w) > n and w[-1:] != b"-"])
-    return np.unique(np.fromiter(map(crc32, found), dtype=np.int64) % BUCKETS)
+    return np.unique(np.fromiter(map(crc32, found), dtype=np.int64))
 
 
 class Severity:
-    """``place[bucket]``: number of a kept feature, or the number of features; ``w``: its weight; ``cuts``: thresholds."""
+    """``kept``: hashes of the kept features in order; ``w``: their weights; ``cuts``: the thresholds."""
 
     def __init__(self, kept: np.ndarray):
         self.kept = kept
-        self.place = np.full(BUCKETS, len(kept), dtype=np.int32)
-        self.place[kept] = np.arange(len(kept))
-        self.w = np.zeros(len(kept) + 1)
+        self.w = np.zeros(len(kept))
         self.cuts = np.full(GRADES, 35.0)
 
+    def place(self, found: np.ndarray) -> np.ndarray:
+        """Numbers of the kept features among sorted hashes."""
+        at = np.searchsorted(self.kept, found)
+        return at[np.append(self.kept, -1)[at] == found]
+
     def chances(self, found: list[np.ndarray]) -> np.ndarray:
         """P(grade >= k) for k = 1 .. GRADES of each document."""
-        z = np.array([self.w[self.place[f]].sum() for f in found])
+        z = np.array([self.w[self.place(f)].sum() for f in found])
         return 1 / (1 + np.exp(-np.clip(z[:, None] - self.cuts, -35, 35)))
 
     def fit(self, found: list[np.ndarray], grades: np.ndarray, steps: int, rate: float, shrink: float) -> None:
-        """Maximises the ordinal likelihood by gradient steps with momentum; cuts stay in order as sums of exponentials."""
-        each = np.repeat(np.arange(len(found)), [len(f) for f in found])
-        cols = np.concatenate([self.place[f] for f in found])
-        real = cols < len(self.kept)
-        each, cols = each[real], cols[real]
-        first, gaps = 1.0, np.zeros(GRADES - 1)
-        at_least = grades[:, None] >= np.arange(GRADES + 2)[None, :]        # columns 0 .. GRADES + 1
-        move = [np.zeros_like(self.w), 0.0, np.zeros_like(gaps)]
-        for _ in range(steps):
+        """Maximises the ordinal likelihood by Adam steps over all rows; cuts stay in order as sums of exponentials."""
+        placed = [self.place(f) for f in found]
+        each, cols = np.repeat(np.arange(len(placed)), [len(p) for p in placed]), np.concatenate(placed)
+        n = len(self.w)
+        theta = np.concatenate([self.w, [1.0], np.zeros(GRADES - 1)])       # weights, first cut, logs of the gaps
+        mean, spread = np.zeros_like(theta), np.zeros_like(theta)
+        for step in range(1, steps + 1):
+            first, gaps = theta[n], theta[n + 1:]
             cuts = np.concatenate([[first], first + np.cumsum(np.exp(gaps))])
-            z = np.bincount(each, self.w[cols], minlength=len(found))
+            z = np.bincount(each, theta[cols], minlength=len(found))
             p = 1 / (1 + np.exp(-np.clip(z[:, None] - cuts, -35, 35)))
             full = np.concatenate([np.ones((len(z), 1)), p, np.zeros((len(z), 1))], axis=1)
             g = grades
@@ -78,12 +79,12 @@ class Severity:
             dcut = np.zeros(GRADES)
             np.add.at(dcut, np.maximum(g - 1, 0), np.where(g > 0, -up, 0) / len(z))
             np.add.at(dcut, np.minimum(g, GRADES - 1), np.where(g < GRADES, down, 0) / len(z))
-            grad = [np.bincount(cols, dz[each], minlength=len(self.w)) - shrink * self.w, dcut.sum(),
-                    np.array([dcut[k + 1:].sum() * np.exp(gaps[k]) for k in range(GRADES - 1)])]
-            move = [0.9 * m + rate * d for m, d in zip(move, grad, strict=True)]
-            self.w, first, gaps = self.w + move[0], first + move[1], np.clip(gaps + move[2], -5, 4)
-            self.w[-1] = 0.0
-        self.cuts = np.concatenate([[first], first + np.cumsum(np.exp(gaps))])
+            grad = np.concatenate([np.bincount(cols, dz[each], minlength=n) - shrink * theta[:n], [dcut.sum()],
+                                   [dcut[k + 1:].sum() * np.exp(gaps[k]) for k in range(GRADES - 1)]])
+            mean, spread = 0.9 * mean + 0.1 * grad, 0.99 * spread + 0.01 * grad * grad
+            theta = theta + rate * (mean / (1 - 0.9 ** step)) / (np.sqrt(spread / (1 - 0.99 ** step)) + 1e-8)
+        self.w, first = theta[:n], theta[n]
+        self.cuts = np.concatenate([[first], first + np.cumsum(np.exp(theta[n + 1:]))])
 
 
 def _featured(docs: DataFrame, cols: list[str]) -> DataFrame:
@@ -95,7 +96,7 @@ def _featured(docs: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = 3000,
-          most_features: int = 4096, least_docs: int = 3, least_odds: float = 8.0, steps: int = 400, rate: float = 2.0, shrink: float = 1e-5) -> Severity:
+          most_features: int = 4096, least_docs: int = 3, least_odds: float = 30.0, steps: int = 400, rate: float = 0.05, shrink: float = 1e-4) -> Severity:
     """A model fitted on about ``per_class`` labelled documents of each class (a bounded sample; pass the labels to learn from).
 
     A feature is kept if ``least_docs`` toxic documents hold it and its smoothed odds for toxic documents
@@ -110,12 +111,14 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     toxic = np.array([table["label"][i].as_py() for i in order], dtype=np.int64)
     if not toxic.any():
         return Severity(np.zeros(0, dtype=np.int64))
-    hit, miss = (np.bincount(np.concatenate([r for r, t in zip(rows, toxic, strict=True) if t == side] or [np.zeros(0, np.int64)]), minlength=BUCKETS) for side in (1, 0))
+    known, number = np.unique(np.concatenate(rows), return_inverse=True)
+    side = np.repeat(toxic, [len(r) for r in rows])
+    hit, miss = np.bincount(number[side == 1], minlength=len(known)), np.bincount(number[side == 0], minlength=len(known))
     n1, n0 = int(toxic.sum()), int(len(toxic) - toxic.sum())
     odds = (hit / n1) / ((miss + 0.5) / (n0 + 1))
     good = np.flatnonzero((hit >= least_docs) & (odds >= least_odds))
-    model = Severity(np.sort(good[np.argsort(-hit[good] * np.log(odds[good]), kind="stable")][:most_features]))
-    telling = np.array([(model.place[r] < len(model.kept)).sum() for r in rows])
+    model = Severity(np.sort(known[good[np.argsort(-hit[good] * np.log(odds[good]), kind="stable")][:most_features]]))
+    telling = np.array([len(model.place(r)) for r in rows])
     cuts = np.quantile(telling[toxic == 1], [1 / 3, 2 / 3])
     model.fit(rows, np.where(toxic == 1, 1 + np.searchsorted(cuts, telling, side="left"), 0), steps, rate, shrink)
     return model
@@ -127,7 +130,7 @@ def grade(docs: DataFrame, model: Severity, key: str = "doc_id", text: str = "te
     ``severity`` is the expected grade (0 to GRADES), ``toxic_score`` the chance of grade 1 or more, ``grade`` the
     severity rounded, ``toxic`` whether that chance is 0.5 or more. Null and empty texts have no feature.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)        # bounded: one number a bucket and feature
+    shared = docs.sparkSession.sparkContext.broadcast(model)        # bounded by most_features
     kind = docs.schema[key].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
