@@ -147,8 +147,8 @@ class WordIds(dict):
     def __init__(self, vocabulary: Vocabulary, most: int = 300_000):
         self.vocabulary, self.most = vocabulary, most
 
-    def learn(self, words: set[str]) -> None:
-        """Merge the words that aren't held yet, all words of one byte length at a time."""
+    def learn(self, words: set[str]) -> dict[str, bytes]:
+        """The ids of ``words``; those that aren't held yet are merged, all words of one byte length at a time."""
         if len(self) > self.most:
             self.clear()
         by_size: dict[int, tuple[list[str], list[bytes]]] = {}
@@ -163,6 +163,7 @@ class WordIds(dict):
         for names, raws in by_size.values():
             for lo in range(0, len(raws), 20_000):
                 self.update(zip(names[lo:lo + 20_000], self.vocabulary.merge_short(raws[lo:lo + 20_000]), strict=True))
+        return {word: self[word] for word in words}     # smaller than the cache, so the many lookups stay near
 
 
 def encode_texts(texts: list[str | None], vocabulary: Vocabulary, cache: WordIds) -> list[bytes]:
@@ -176,9 +177,8 @@ def encode_texts(texts: list[str | None], vocabulary: Vocabulary, cache: WordIds
             pieces.append(vocabulary.split(text) if text else [])
     words = set().union(*pieces)
     special = {p: p.to_bytes(4, "little") for p in words if isinstance(p, int)}
-    cache.learn(words - special.keys())
-    cache.update(special)
-    return [b"".join(map(cache.__getitem__, p)) for p in pieces]
+    look = (cache.learn(words - special.keys()) | special).__getitem__
+    return [b"".join(map(look, p)) for p in pieces]
 
 
 def decode_ids(ids: bytes | None, vocabulary: Vocabulary) -> str:

@@ -55,8 +55,8 @@ class LowerWords:
                 pieces.append(None if text and any(s in text for s in self.vocabulary.special) else self.words((text or "").lower()))
             except UnicodeEncodeError:
                 pieces.append(None)
-        self.cache.learn(set().union(*(p for p in pieces if p)))
-        return [b"".join(map(self.cache.__getitem__, p)) if p is not None else
+        look = self.cache.learn(set().union(*(p for p in pieces if p))).__getitem__
+        return [b"".join(map(look, p)) if p is not None else
                 np.array(self.library.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
                 for t, p in zip(texts, pieces, strict=True)]
 

@@ -79,7 +79,7 @@ def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", max_
         (F.length("_t") - F.length(F.translate("_t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"), "n_repeat_words",
         F.size("_lines").cast("long").alias("n_lines"),
-        *(F.size(F.filter("_judged", lambda x, r=r: x[r])).cast("long").alias(f"n_{r}") for r in ("punctuation", "navigation", "boilerplate")),
+        *(F.expr(f"cast(size(filter(_judged, x -> x.{r})) AS bigint) AS n_{r}") for r in ("punctuation", "navigation", "boilerplate")),
         F.col("_clean").alias("clean_text"), clean_words.cast("long").alias("clean_words"), _gap_free(F.col("_clean")).alias("_left"))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     lost = F.col("word_chars") - F.col("_left")

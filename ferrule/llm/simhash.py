@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ferrule.functions.udf_support import ship_by_value
@@ -64,15 +64,15 @@ def fingerprint(text: str | None, shingle: int) -> int:
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
-    """``key, fp``: the fingerprint of every whole text as a signed long (same 64 bits)."""
+    """``key, fp, h``: the fingerprint of every whole text as a signed long (same 64 bits), and a hash of the text itself."""
     kind = docs.schema[key].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, 1):
             fps = np.array([fingerprint(t, shingle) for t in part.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_pydict({"k": part.column(0), "fp": pa.array(fps)})
+            yield pa.RecordBatch.from_pydict({"k": part.column(0), "fp": pa.array(fps), "h": part.column(2)})
 
-    return docs.select(key, text).mapInArrow(work, f"k {kind}, fp long").withColumnRenamed("k", key)
+    return docs.select(key, text, F.xxhash64(text).alias("h")).mapInArrow(work, f"k {kind}, fp long, h long").withColumnRenamed("k", key)
 
 
 def _split(rows: DataFrame, width: int) -> DataFrame:
@@ -130,7 +130,7 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, max_bits: int = MAX_BITS) -> DataFrame:
-    """``key, fp, component_id``: fingerprint and the smallest key reachable over links, itself included.
+    """``key, fp, h, component_id``: fingerprint, text hash and the smallest key reachable over links, itself included.
 
     ``key`` is a long. Null and empty texts have fingerprint 0 and link like any other. Rows with a
     null key get the component of their fingerprint's other rows (null without any). Repeated rows
@@ -145,7 +145,22 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
                         .select("fp", "first", F.coalesce("component", "fp").alias("c")), "classes-named")
     least = named.groupBy("c").agg(F.min("first").alias("component_id"))
     by_print = named.join(least, "c").select("fp", "component_id")
-    return prints.join(by_print, "fp").select(key, "fp", "component_id")
+    return prints.join(by_print, "fp").select(key, "fp", "h", "component_id")
+
+
+def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, max_bits: int = MAX_BITS) -> DataFrame:
+    """One row of each group of near-duplicates, with all columns: a row of the smallest key.
+
+    If several rows have that key, the one with the smallest text hash stays, and of rows equal in
+    key and text any one. Rows with a null key pass.
+    """
+    found = near_duplicates(docs, key, text, shingle, max_bits)
+    first = found.where(F.col(key) == F.col("component_id")).groupBy(F.col(key).alias("_key")).agg(F.min("h").alias("_hash"))
+    # A group is named by its smallest key, so one key holds one row of one group.
+    named = docs.withColumn("_hash", F.xxhash64(text))
+    kept = named.join(first, (named[key] == first["_key"]) & (named["_hash"] == first["_hash"])).select(named["*"])
+    one = kept.withColumn("_rank", F.row_number().over(Window.partitionBy(key, "_hash").orderBy(F.lit(0)))).where("_rank = 1")
+    return one.select(*docs.columns).unionByName(docs.where(F.col(key).isNull()))
 
 
 ship_by_value(__name__)
