@@ -155,11 +155,11 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle
     key and text any one. Rows with a null key pass.
     """
     found = near_duplicates(docs, key, text, shingle, max_bits)
-    first = found.where(F.col(key) == F.col("component_id")).groupBy(F.col(key).alias("_key")).agg(F.min("h").alias("_hash"))
+    first = found.where(F.col(key) == F.col("component_id")).groupBy(F.col(key).alias("__ferrule_key")).agg(F.min("h").alias("__ferrule_hash"))
     # A group is named by its smallest key, so one key holds one row of one group.
-    named = docs.withColumn("_hash", F.xxhash64(text))
-    kept = named.join(first, (named[key] == first["_key"]) & (named["_hash"] == first["_hash"])).select(named["*"])
-    one = kept.withColumn("_rank", F.row_number().over(Window.partitionBy(key, "_hash").orderBy(F.lit(0)))).where("_rank = 1")
+    named = docs.withColumn("__ferrule_hash", F.xxhash64(text))
+    kept = named.join(first, (named[key] == first["__ferrule_key"]) & (named["__ferrule_hash"] == first["__ferrule_hash"])).select(named["*"])
+    one = kept.withColumn("__ferrule_rank", F.row_number().over(Window.partitionBy(key, "__ferrule_hash").orderBy(F.lit(0)))).where("__ferrule_rank = 1")
     return one.select(*docs.columns).unionByName(docs.where(F.col(key).isNull()))
 
 
