@@ -24,27 +24,30 @@ def argmax(col) -> Column:
     return (F.array_position(z, F.array_max(z)) - F.lit(1)).cast("int")
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once: a lambda over a one-element array binds it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def logsumexp(col) -> Column:
     z = _c(col)
-    m = F.array_max(z)
-    total = F.aggregate(F.transform(z, lambda x: F.exp(x - m)), F.lit(0.0).cast("double"),
-                        lambda acc, x: acc + x)
-    return m + F.log(total)
+    return _let(F.array_max(z), lambda m: m + F.log(F.aggregate(z, F.lit(0.0).cast("double"), lambda acc, x: acc + F.exp(x - m))))
 
 
 def log_softmax(col) -> Column:
     z = _c(col)
-    lse = logsumexp(z)
-    return F.transform(z, lambda x: x - lse)
+    return _let(logsumexp(z), lambda lse: F.transform(z, lambda x: x - lse))
 
 
 def softmax(col) -> Column:
-    return F.transform(log_softmax(col), lambda x: F.exp(x))
+    z = _c(col)
+    return _let(logsumexp(z), lambda lse: F.transform(z, lambda x: F.exp(x - lse)))
 
 
 def nll_at(col, index) -> Column:
-    """``-log_softmax(z)[index]`` for a 0-based index column."""
-    return -F.element_at(log_softmax(col), _c(index) + F.lit(1))
+    """``-log_softmax(z)[index]`` for a 0-based index column: the log-sum less one element."""
+    z = _c(col)
+    return logsumexp(z) - F.element_at(z, _c(index) + F.lit(1))
 
 
 def add_at(col, index, delta: float) -> Column:

@@ -44,9 +44,25 @@ def viridis_color(value, min_value, max_value) -> Column:
     return F.concat(F.lit("#"), *[_hex2(ch) for ch in chans])
 
 
-def _fixed(x: Column, digits: int) -> Column:
-    """``f"{x:.{digits}f}"`` with half-to-even rounding first (T7)."""
-    return F.format_string(f"%.{digits}f", F.bround(x, digits))
+def fixed(x: Column, digits: int) -> Column:
+    """``f"{x:.{digits}f}"`` for |x| below about 1e12: rounds the double's exact binary value, half to even.
+
+    ``x = high + low`` with 26 bits in ``high``, so both products with 10 ** digits are exact, and
+    so is the sign of their distance from the middle between two neighbouring results.
+    """
+    scale = float(10 ** digits)
+    v = F.abs(x.cast("double"))
+    c = v * F.lit(134217729.0)
+    high = c - (c - v)
+    low = v - high
+    k = F.floor(v * F.lit(scale)).cast("double")
+    off = (high * F.lit(scale) - (k + F.lit(0.5))) + low * F.lit(scale)
+    n = F.when(off > 0, k + 1).when(off < 0, k).otherwise(k + k % 2).cast("long")
+    sign = F.when(x < 0, F.lit("-")).otherwise(F.lit(""))
+    if not digits:
+        return F.concat(sign, n.cast("string"))
+    whole, rest = F.floor(n / F.lit(10 ** digits)).cast("long"), n % F.lit(10 ** digits)
+    return F.concat(sign, whole.cast("string"), F.lit("."), F.lpad(rest.cast("string"), digits, "0"))
 
 
 def pretty_duration(seconds) -> Column:
@@ -58,10 +74,10 @@ def pretty_duration(seconds) -> Column:
     sec = F.floor(rem - m * 60)
     long_form = F.when(h < 1, F.format_string("%dm %ds", m.cast("long"), sec.cast("long"))) \
         .otherwise(F.format_string("%dh %dm %ds", h.cast("long"), m.cast("long"), sec.cast("long")))
-    return (F.when(s < 1e-6, F.concat(_fixed(s * 1e9, 0), F.lit(" ns")))
-            .when(s < 1e-3, F.concat(_fixed(s * 1e6, 0), F.lit(" µs")))
-            .when(s < 1, F.concat(_fixed(s * 1e3, 0), F.lit(" ms")))
-            .when(s < 60, F.concat(_fixed(s, 3), F.lit(" s")))
+    return (F.when(s < 1e-6, F.concat(fixed(s * 1e9, 0), F.lit(" ns")))
+            .when(s < 1e-3, F.concat(fixed(s * 1e6, 0), F.lit(" µs")))
+            .when(s < 1, F.concat(fixed(s * 1e3, 0), F.lit(" ms")))
+            .when(s < 60, F.concat(fixed(s, 3), F.lit(" s")))
             .otherwise(long_form))
 
 

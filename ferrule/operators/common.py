@@ -2,25 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def balance(df: DataFrame, factor: int = 2) -> DataFrame:
-    """Spread CPU-heavy per-row work when the input scan is under-split.
-
-    A large table arrives in thousands of file splits and this is a no-op. A
-    small file (or one row group) arrives as a single task; a round-robin
-    repartition then gives every core a share before the expensive
-    projection (tokenising, n-gram explode, edit distance). Spark sorts rows
-    before a round-robin exchange, so the result is the same on task retry.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores * factor)
-
-
 def rounded(col: str, digits: int = 6):
     return F.round(F.col(col), digits).alias(col)

@@ -112,16 +112,24 @@ def plot_points(points: DataFrame, ranges: DataFrame) -> DataFrame:
     return j.select("metric", "series", "x", "y", sx.alias("sx"), sy.alias("sy"))
 
 
+def window_keys(df: DataFrame) -> list[str]:
+    """The columns besides the step that tell the lines of a log apart."""
+    return [c for c in ("phase", "domain") if c in df.columns]
+
+
 def tumbling_mean(df: DataFrame, value: str, every: int, step: str = "step") -> DataFrame:
-    """MET1: mean of ``value`` over consecutive windows of ``every`` steps; incomplete windows dropped.
+    """MET1: mean of ``value`` over consecutive windows of ``every`` steps, for each phase and domain.
+
+    A window counts when it holds ``every`` different steps of its phase and domain.
 
     (A true mean over the window's parseable values - the reference's running
     sum divided by ``every`` after a resume is deliberately not reproduced.)
     """
     s = T.lenient_float(F.col(step))
     w = F.ceil(s / F.lit(every)).cast("long")
-    g = df.where(s.isNotNull()).groupBy(w.alias("window")).agg(
-        F.count(F.lit(1)).alias("n_steps"), F.avg(T.lenient_float(F.col(value))).alias("mean"),
+    by = window_keys(df)
+    g = df.where(s.isNotNull()).groupBy(*by, w.alias("window")).agg(
+        F.count_distinct(s).alias("n_steps"), F.avg(T.lenient_float(F.col(value))).alias("mean"),
         F.count(T.lenient_float(F.col(value))).alias("n_values"))
     return g.where(F.col("n_steps") == every).select(
-        (F.col("window") * every).alias("window_end_step"), "mean", "n_values")
+        *by, (F.col("window") * every).alias("window_end_step"), "mean", "n_values")

@@ -21,7 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HASH_BUCKET_CHARS = 3      # 16^3 = 4,096 buckets for md5-ordered ranks
+HASH_BUCKET_CHARS = 3      # default: 16^3 = 4,096 buckets for md5-ordered ranks; raise it with the data
+EXPAND = 4096              # repeats that one row is expanded into at a time
 KEY_BUCKET_SHIFT = 12      # unique integer keys: at most 4,096 rows per bucket
 
 
@@ -31,8 +32,8 @@ def seeded_hash(seed: int | str, *cols) -> Column:
     return F.md5(F.concat_ws(":", *parts))
 
 
-def hash_bucket(hash_col: Column) -> Column:
-    return F.substring(hash_col, 1, HASH_BUCKET_CHARS)
+def hash_bucket(hash_col: Column, chars: int = HASH_BUCKET_CHARS) -> Column:
+    return F.substring(hash_col, 1, chars)
 
 
 def key_bucket(key_col: Column) -> Column:
@@ -48,7 +49,8 @@ def position(df: DataFrame, order: Column, bucket: Column, partition_by: tuple[s
     ``bucket`` must be non-decreasing in ``order``. With ``weight``, also adds
     ``offset_col`` = sum of the weights of all earlier rows (running sum);
     ``total_col`` = number of rows in the partition; ``max_total_col`` = the
-    largest partition size (computed on the small bucket table).
+    largest partition size (computed on the small bucket table). Rows with a
+    null group or a null order key are ranked like any other (nulls are equal).
     """
     part = list(partition_by)
     w = weight if weight is not None else F.lit(0)
@@ -56,14 +58,17 @@ def position(df: DataFrame, order: Column, bucket: Column, partition_by: tuple[s
     counts = base.groupBy(*part, "__bkt").agg(F.count(F.lit(1)).alias("__n"), F.sum("__w").alias("__ws"))
     before = Window.partitionBy(*part).orderBy("__bkt").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*part)
-    offsets = counts.select(*part, "__bkt",
+    offsets = counts.select(*[F.col(p).alias(f"__g{i}") for i, p in enumerate(part)], F.col("__bkt").alias("__b"),
                             F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__row_base"),
                             F.coalesce(F.sum("__ws").over(before), F.lit(0)).alias("__w_base"),
                             F.sum("__n").over(whole).alias("__total"))
     if max_total_col:
         # window over the (groups x buckets) table only, never over the data
         offsets = offsets.withColumn("__max_total", F.max("__total").over(Window.partitionBy()))
-    j = base.join(offsets, [*part, "__bkt"])
+    same = F.col("__bkt").eqNullSafe(F.col("__b"))
+    for i, p in enumerate(part):
+        same = same & F.col(p).eqNullSafe(F.col(f"__g{i}"))
+    j = base.join(offsets, same)
     inb = Window.partitionBy(*part, "__bkt").orderBy("__ord")
     out = j.withColumn(pos_col, F.col("__row_base") + F.row_number().over(inb))
     if offset_col:
@@ -73,14 +78,21 @@ def position(df: DataFrame, order: Column, bucket: Column, partition_by: tuple[s
         out = out.withColumn(total_col, F.col("__total"))
     if max_total_col:
         out = out.withColumn(max_total_col, F.col("__max_total"))
-    return out.drop("__ord", "__bkt", "__w", "__n", "__ws", "__row_base", "__w_base", "__total", "__max_total")
+    return out.drop(*[f"__g{i}" for i in range(len(part))], "__b", "__ord", "__bkt", "__w", "__n", "__ws", "__row_base", "__w_base", "__total", "__max_total")
+
+
+def seeded_order(seed, key_cols: list[str]) -> Column:
+    """The text that seeded-shuffle order sorts by: md5 of seed and keys, then the keys (null: empty)."""
+    return F.concat(seeded_hash(seed, *key_cols), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in key_cols])
 
 
 def hashed_position(df: DataFrame, seed, key_cols: list[str], partition_by: tuple[str, ...] = (),
-                    **kw) -> DataFrame:
-    """Rank rows in seeded-shuffle order (md5 of seed and keys)."""
-    h = seeded_hash(seed, *key_cols)
-    return position(df, F.concat(h, *[F.col(k).cast("string") for k in key_cols]), hash_bucket(h),
+                    bucket_chars: int = HASH_BUCKET_CHARS, **kw) -> DataFrame:
+    """Rank rows in seeded-shuffle order (md5 of seed and keys).
+
+    ``bucket_chars`` hex digits make a bucket: 16 ** bucket_chars sorts a group, each in one task.
+    """
+    return position(df, seeded_order(seed, key_cols), hash_bucket(seeded_hash(seed, *key_cols), bucket_chars),
                     partition_by, **kw)
 
 
@@ -116,14 +128,30 @@ def document_split(df: DataFrame, group: str, key: str, val_fraction: float = 0.
                    names: tuple[str, str] = ("train", "val")) -> DataFrame:
     """ORD3: leak-free split of documents, independently per group.
 
-    Seeded order per group; ``n_val = max(1, round_half_even(n * f))`` first
-    documents go to validation. Exact per-group ranks come from ``position``
-    (bucketed), so a group holding a third of all rows is still spread.
+    Seeded order per group; ``n_val = max(1, round_half_even(n * f))`` first documents go to
+    validation. Only (group, key) is ranked; the rank gives one cut-off hash per group, and the
+    documents are then decided row by row against it, so texts aren't ranked or shuffled by rank.
+    Null groups form a group of their own; rows repeated in the key fall on one side.
     """
-    ranked = hashed_position(df, seed, [group, key], partition_by=(group,), total_col="__cnt")
+    keys = df.select(F.col(group).alias("__group"), F.col(key).alias("__key"))
+    ranked = position(keys, seeded_order(seed, ["__group", "__key"]), hash_bucket(seeded_hash(seed, "__group", "__key")),
+                      ("__group",), total_col="__cnt")
     n_val = F.greatest(F.lit(1), F.bround(F.col("__cnt") * F.lit(float(val_fraction)), 0).cast("long"))
-    return ranked.withColumn("split", F.when(F.col("pos") <= n_val, F.lit(names[1])).otherwise(F.lit(names[0]))) \
-        .drop("__cnt", "pos")
+    cut = ranked.where(F.col("pos") == n_val).select("__group", seeded_order(seed, ["__group", "__key"]).alias("__cut"))
+    # one row per group: broadcast when AQE measures it small, otherwise a shuffle join
+    out = df.join(cut, F.col(group).eqNullSafe(F.col("__group")), "left")
+    return out.withColumn("split", F.when(seeded_order(seed, [group, key]) <= F.col("__cut"), F.lit(names[1])).otherwise(F.lit(names[0]))) \
+        .drop("__group", "__cut")
+
+
+def exact_split(df: DataFrame, unit: str | list[str], test_count: int, seed: int = 42, names: tuple[str, str] = ("train", "test")) -> DataFrame:
+    """ORD2 with exact counts: the first ``test_count`` units in seeded order are the test side.
+
+    ``unit`` is the key of what is split: a row's key, or a block's (document, block index).
+    """
+    cols = [unit] if isinstance(unit, str) else list(unit)
+    ranked = hashed_position(df, seed, cols)
+    return ranked.withColumn("split", F.when(F.col("pos") <= test_count, F.lit(names[1])).otherwise(F.lit(names[0]))).drop("pos")
 
 
 def batches(df: DataFrame, pos_col: str, total_col: str, batch_size: int, drop_last: bool) -> DataFrame:
@@ -154,5 +182,9 @@ def interleave(df: DataFrame, group: str, key: str, seed: int = 100) -> DataFram
     p, p + c, p + 2c, ... < max group size. Output ``(round, group, key)``.
     """
     ranked = hashed_position(df, seed, [key], partition_by=(group,), total_col="__cnt", max_total_col="__m")
-    rounds = F.sequence(F.col("pos") - 1, F.col("__m") - 1, F.col("__cnt"))
-    return ranked.select(F.explode(rounds).alias("round"), group, key)
+    # Two steps: spans of up to EXPAND repeats, then the repeats of a span, so no array grows with the larger group.
+    span = F.col("__cnt") * EXPAND
+    starts = F.sequence(F.col("pos") - 1, F.col("__m") - 1, span)
+    spans = ranked.select(F.explode(starts).alias("__s"), group, key, "__m", "__cnt")
+    last = F.least(F.col("__m") - 1, F.col("__s") + F.col("__cnt") * (EXPAND - 1))
+    return spans.select(F.explode(F.sequence(F.col("__s"), last, F.col("__cnt"))).alias("round"), group, key)

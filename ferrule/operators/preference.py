@@ -12,15 +12,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ferrule.functions import text as T
-from ferrule.functions.edit import edit_distance
-from ferrule.operators.common import balance
+from ferrule.functions.edit import edit_distance, edit_distances
 
 
-def assert_same_count(a: DataFrame, b: DataFrame, what: str = "inputs") -> None:
-    """T13: the reference's positional zip truncates silently; we refuse unequal inputs."""
-    na, nb = a.count(), b.count()
-    if na != nb:
-        raise ValueError(f"{what} differ in length: {na} != {nb}")
+def matched(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """JOIN1: rows of both sides by key; a key that only one side has is an error when the plan runs (T13).
+
+    The reference's positional zip truncates silently; here nothing is dropped.
+    """
+    l, r = left.withColumn("__left", F.lit(True)), right.withColumn("__right", F.lit(True))
+    both = F.col("__left").isNotNull() & F.col("__right").isNotNull()
+    one = F.concat(F.lit(f"no partner for {key} "), F.coalesce(F.col(key).cast("string"), F.lit("null")))
+    j = l.join(r, key, "full_outer").withColumn("__ok", F.when(both, F.lit(True)).otherwise(F.raise_error(one).cast("boolean")))
+    return j.where("__ok").drop("__left", "__right", "__ok")
 
 
 def preference_pairs(prompts: DataFrame, candidates: DataFrame, key: str = "pair_id",
@@ -31,8 +35,8 @@ def preference_pairs(prompts: DataFrame, candidates: DataFrame, key: str = "pair
     ``prompt`` is stored in inference format unless ``raw_prompt``; the
     notebook variant also keeps the ``target``.
     """
-    j = balance(prompts.select(key, prompt, target).join(candidates.select(key, v1, v2), key, "inner"))
-    d = j.select("*", edit_distance(v1, target).alias("d1"), edit_distance(v2, target).alias("d2"))
+    j = matched(prompts.select(key, prompt, target), candidates.select(key, v1, v2), key)
+    d = j.withColumn("__d", edit_distances(target, v1, v2)).select("*", F.col("__d")[0].alias("d1"), F.col("__d")[1].alias("d2"))
     kept = d.where(F.col("d1") != F.col("d2"))
     first = F.col("d1") < F.col("d2")
     cols = [F.col(key),
@@ -47,8 +51,8 @@ def preference_pairs(prompts: DataFrame, candidates: DataFrame, key: str = "pair
 def preference_stats(prompts: DataFrame, candidates: DataFrame, key: str = "pair_id",
                      target: str = "reference", v1: str = "candidate", v2: str = "candidate_2") -> DataFrame:
     """PRF3: pairs considered, ties dropped, pairs kept, and the distance sums."""
-    j = balance(prompts.select(key, target).join(candidates.select(key, v1, v2), key, "inner"))
-    d = j.select(edit_distance(v1, target).alias("d1"), edit_distance(v2, target).alias("d2"))
+    j = matched(prompts.select(key, target), candidates.select(key, v1, v2), key)
+    d = j.select(edit_distances(target, v1, v2).alias("__d")).select(F.col("__d")[0].alias("d1"), F.col("__d")[1].alias("d2"))
     return d.agg(F.count(F.lit(1)).alias("n_pairs"), F.count_if(F.col("d1") == F.col("d2")).alias("n_ties"),
                  F.count_if(F.col("d1") != F.col("d2")).alias("n_kept"),
                  F.sum("d1").cast("long").alias("sum_d1"), F.sum("d2").cast("long").alias("sum_d2"))
@@ -61,7 +65,7 @@ def best_worst(long_candidates: DataFrame, targets: DataFrame, key: str = "pair_
     Ties in distance go to the lowest candidate id; prompts whose candidates
     are all equally far are dropped. Groups are one prompt's k candidates.
     """
-    j = balance(long_candidates.select(key, cand_id, text).join(targets.select(key, target), key, "inner"))
+    j = matched(long_candidates.select(key, cand_id, text), targets.select(key, target), key)
     d = j.select(key, cand_id, text, edit_distance(text, target).alias("dist"))
     g = d.groupBy(key).agg(
         F.min_by(text, F.struct("dist", cand_id)).alias("chosen"),

@@ -81,7 +81,7 @@ def heatmap_cells(long: DataFrame, value: str = "pct", suffix: str = "%") -> Dat
     # the aggregate has exactly one row: a bounded broadcast, joined on a constant key
     j = long.withColumn("__one", F.lit(1)).join(F.broadcast(mm), "__one")
     return j.select(*long.columns, M.viridis_color(F.col(value), F.col("__lo"), F.col("__hi")).alias("color"),
-                    F.concat(F.format_string("%.1f", F.bround(F.col(value), 1)), F.lit(suffix)).alias("cell_text"))
+                    F.concat(M.fixed(F.col(value), 1), F.lit(suffix)).alias("cell_text"))
 
 
 def expert_utilization(rl: DataFrame, n_experts: int) -> DataFrame:
@@ -199,26 +199,32 @@ def combine_scalars(named: dict[str, DataFrame]) -> DataFrame:
 def before_after(before: DataFrame, after: DataFrame, key: str, value: str) -> DataFrame:
     """JOIN3/MET8: rows of ``before`` with the ``after`` value, signed change and direction.
 
-    A key missing on the ``after`` side yields a null ``after`` (see ``assert_complete``).
+    A key missing on the ``after`` side is an error when the plan runs; a null value on either side
+    gives a null change and a null direction.
     """
     b = before.select(key, F.col(value).alias("before"))
-    a = after.select(key, F.col(value).alias("after"))
+    a = after.select(key, F.col(value).alias("after"), F.lit(True).alias("__there"))
     j = b.join(a, key, "left")
+    missing = F.concat(F.lit(f"no 'after' row for {key} "), F.coalesce(F.col(key).cast("string"), F.lit("null")))
+    j = j.withColumn("__ok", F.when(F.col("__there"), F.lit(True)).otherwise(F.raise_error(missing).cast("boolean"))).where("__ok")
     change = F.col("after") - F.col("before")
     return j.select(key, "before", "after", change.alias("change"),
-                    F.when(change < 0, F.lit("good")).otherwise(F.lit("bad")).alias("direction"))
+                    F.when(change < 0, F.lit("good")).when(change >= 0, F.lit("bad")).alias("direction"))
 
 
-def assert_complete(df: DataFrame, col: str = "after") -> None:
-    missing = df.where(F.col(col).isNull()).limit(1).count()
-    if missing:
-        raise ValueError(f"a key of the 'before' side is missing on the '{col}' side")
+def max_abs_diff(a: DataFrame, b: DataFrame, keys: list[str], col: str = "logits", tolerance: float | None = None) -> DataFrame:
+    """JOIN10: parity of two tables: full outer join on the key, largest element difference, unmatched keys.
 
-
-def max_abs_diff(a: DataFrame, b: DataFrame, keys: list[str], col: str = "logits") -> DataFrame:
-    """JOIN10: parity of two tables: full outer join on the key, largest element difference, unmatched keys."""
+    With ``tolerance``, a larger difference or an unmatched key is an error when the plan runs.
+    """
     j = a.select(*keys, F.col(col).alias("__a")).join(b.select(*keys, F.col(col).alias("__b")), keys, "full_outer")
     diff = F.array_max(F.zip_with("__a", "__b", lambda x, y: F.abs(x - y)))
     both = F.col("__a").isNotNull() & F.col("__b").isNotNull()
-    return j.agg(F.count_if(both).alias("n_compared"), F.count_if(~both).alias("n_unmatched"),
-                 F.max(F.when(both, diff)).alias("max_abs_diff"))
+    out = j.agg(F.count_if(both).alias("n_compared"), F.count_if(~both).alias("n_unmatched"),
+                F.max(F.when(both, diff)).alias("max_abs_diff"))
+    if tolerance is None:
+        return out
+    off = (F.col("n_unmatched") > 0) | (F.coalesce("max_abs_diff", F.lit(0.0)) > F.lit(float(tolerance)))
+    said = F.concat(F.lit("tables differ: largest difference "), F.coalesce(F.col("max_abs_diff").cast("string"), F.lit("none")),
+                    F.lit(", unmatched keys "), F.col("n_unmatched").cast("string"))
+    return out.withColumn("n_compared", F.when(off, F.raise_error(said).cast("long")).otherwise(F.col("n_compared")))

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from ferrule.functions import arrays as A
 from ferrule.functions import text as T
-from ferrule.operators.common import balance
 from ferrule.sources.tables import read_table
 
 # --- fixed values: domain dimension ------------------------------------------
@@ -26,6 +25,15 @@ N_EXPERTS = 3
 BLOCK_POSITIONS = 16
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal rows over the session's shuffle partitions by key.
+
+    The test tables are one file split each, and the queries tokenise and align whole texts; a table
+    of many splits should be read without this.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def domain_dim(spark: SparkSession) -> DataFrame:
     """Three-row domain dimension ``(domain_id, domain)``; safe to broadcast."""
     return spark.createDataFrame([(v, k) for k, v in DOMAINS.items()], "domain_id int, domain string")
@@ -40,13 +48,13 @@ def domain_name(domain_id) -> F.Column:
 
 
 def correction_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(pair_id, src, source, reference, candidate, candidate_2)`` from English documents.
+    """``(pair_id, src, source, reference, candidate, candidate_2)`` from all documents.
 
     reference = all whitespace tokens of the folded text; the source reverses
     word i when (i + id) % 7 == 0, the candidate keeps only the errors with
     % 14 == 0 (half corrected), candidate_2 those with % 21 == 0.
     """
-    docs = balance(read_table(spark, sf_dir, "documents").where(F.col("lang") == "en").select("doc_id", "text"))
+    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     base = docs.select(F.col("doc_id").alias("pair_id"), T.tokens(T.fold_ascii("text")).alias("tok"))
     out = base.select(
         "pair_id",
@@ -113,7 +121,7 @@ def token_nll(spark: SparkSession, sf_dir: str, after: bool = False) -> DataFram
 
 def domain_documents(spark: SparkSession, sf_dir: str, eos: str = T.EOS_TOKEN) -> DataFrame:
     """``(doc_id, domain, domain_id, tokens)``; domain from the source number % 3."""
-    docs = balance(read_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id")
     did = (F.substring("source", 4, 1 << 20).cast("int") % 3).cast("int")
     return docs.select("doc_id", domain_name(did).alias("domain"), did.alias("domain_id"),
                        F.concat(T.tokens(T.fold_ascii("text")), F.array(F.lit(eos))).alias("tokens"))

@@ -42,7 +42,7 @@ def domain_name(expr: str) -> str:
 
 F1 = f"""
 f1_tok AS (
-  SELECT doc_id AS pair_id, {tok(fold('text'))} AS tok FROM documents WHERE lang = 'en'),
+  SELECT doc_id AS pair_id, {tok(fold('text'))} AS tok FROM documents),
 f1 AS (
   SELECT pair_id,
          'Fix this text: ' || {rev_words('tok', 'pair_id', 7)} AS src,

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ferrule.operators import chunk as C
 from ferrule.operators import ordering as OR
-from ferrule.operators.common import balance
 from ferrule.plans import fixtures as FX
 from ferrule.plans import oracle_sql as O
 from ferrule.plans.catalog import register
@@ -68,7 +67,7 @@ FROM (SELECT doc_id, tokens, unnest(range(len(tokens) // {BLOCK})) AS bi FROM f5
 @register("q_chunk_drop_tail", _CHUNK_TAIL_SQL)
 def q_chunk_drop_tail(spark, sf_dir):
     """GEN2: full 256-token blocks per document, tail dropped."""
-    f5 = balance(FX.domain_documents(spark, sf_dir))
+    f5 = FX.domain_documents(spark, sf_dir)
     b = C.chunk_drop_tail(f5, "tokens", BLOCK, keep=("doc_id",))
     return b.select("doc_id", "block_index", F.array_join("input_ids", " ").alias("block_text"))
 
@@ -93,7 +92,7 @@ def _pad_out(b):
 @register("q_chunk_pad", O.with_(O.F5) + _chunk_pad_sql())
 def q_chunk_pad(spark, sf_dir):
     """GEN3: short documents -> one padded block (mask 0, domain -100); long -> full blocks."""
-    f5 = balance(FX.domain_documents(spark, sf_dir))
+    f5 = FX.domain_documents(spark, sf_dir)
     return _pad_out(C.chunk_pad(f5, "tokens", "domain_id", BLOCK, PAD, keep=("doc_id",)))
 
 
@@ -184,7 +183,7 @@ bpos AS (SELECT doc_id, block_index, row_number() OVER (ORDER BY {_md5(3, 'doc_i
 
 
 def _ordered_blocks(spark, sf_dir):
-    f5 = balance(FX.domain_documents(spark, sf_dir))
+    f5 = FX.domain_documents(spark, sf_dir)
     b = C.chunk_drop_tail(f5, "tokens", BLOCK, keep=("doc_id",)).select("doc_id", "block_index")
     return OR.hashed_position(b, 3, ["doc_id", "block_index"], total_col="total")
 
@@ -248,7 +247,7 @@ def q_domain_preview(spark, sf_dir):
 
 
 def _val_blocks(spark, sf_dir):
-    sp = balance(_split_docs(spark, sf_dir))
+    sp = _split_docs(spark, sf_dir)
     return C.chunk_pad(sp, "tokens", "domain_id", BLOCK, PAD, keep=("doc_id", "domain", "split"))
 
 
@@ -270,15 +269,10 @@ SELECT (SELECT count(*) FROM split WHERE split = 'train') AS n_train_docs,
           AND EXISTS (SELECT 1 FROM split v WHERE v.split = 'val' AND v.doc_id = t.doc_id)) AS n_leaked""")
 def q_split_leak_check(spark, sf_dir):
     """JOIN7: no document contributes blocks to both sides (left_semi must be empty)."""
-    b = _val_blocks(spark, sf_dir).select("doc_id", "split").distinct()
-    train = b.where(F.col("split") == "train").select("doc_id")
-    val = b.where(F.col("split") == "val").select("doc_id")
-    leaked = train.join(val, "doc_id", "left_semi")
-    tagged = (train.select(F.lit("t").alias("tag")).unionByName(val.select(F.lit("v").alias("tag")))
-              .unionByName(leaked.select(F.lit("l").alias("tag"))))
-    return tagged.groupBy().agg(F.count_if(F.col("tag") == "t").alias("n_train_docs"),
-                                F.count_if(F.col("tag") == "v").alias("n_val_docs"),
-                                F.count_if(F.col("tag") == "l").alias("n_leaked"))
+    b = _val_blocks(spark, sf_dir)
+    sides = b.groupBy("doc_id").agg(F.count_if(F.col("split") == "train").alias("t"), F.count_if(F.col("split") == "val").alias("v"))
+    return sides.agg(F.count_if(F.col("t") > 0).alias("n_train_docs"), F.count_if(F.col("v") > 0).alias("n_val_docs"),
+                     F.count_if((F.col("t") > 0) & (F.col("v") > 0)).alias("n_leaked"))
 
 
 @register("q_heldout_docs", O.with_(O.F5, _DOC_SPLIT) + """
@@ -300,13 +294,8 @@ SELECT domain AS view, doc_id, CAST(bi AS INTEGER) AS block_index,
 def q_domain_views(spark, sf_dir):
     """FIL5: one view per domain of the held-out blocks, chosen by the block's first domain id."""
     b = _val_blocks(spark, sf_dir).where(F.col("split") == "val")
-    first = F.element_at("domain_ids", 1)
-    views = [b.where(first == did).select(F.lit(name).alias("view"), "doc_id", "block_index", "n_real")
-             for name, did in FX.DOMAINS.items()]
-    out = views[0]
-    for v in views[1:]:
-        out = out.unionByName(v)
-    return out
+    # the views are one table with the view's name as a column: one scan for all of them
+    return b.select(FX.domain_name(F.element_at("domain_ids", 1)).alias("view"), "doc_id", "block_index", "n_real").where(F.col("view").isNotNull())
 
 
 @register("q_union_domains", O.with_(O.F5) + f"""
@@ -315,13 +304,9 @@ SELECT domain, count(*) AS n_blocks,
   (SELECT domain, tokens, unnest(CASE WHEN len(tokens) < {BLOCK} THEN [0] ELSE range(len(tokens) // {BLOCK}) END)
    FROM f5) GROUP BY domain""")
 def q_union_domains(spark, sf_dir):
-    """SET1: bag union of per-domain block tables (unionByName), then an inventory."""
-    f5 = balance(FX.domain_documents(spark, sf_dir))
-    parts = [C.chunk_pad(f5.where(F.col("domain") == name), "tokens", "domain_id", BLOCK, PAD, keep=("domain",))
-             for name in FX.DOMAINS]
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
+    """SET1: the blocks of all domains in one table, then an inventory per domain."""
+    f5 = FX.domain_documents(spark, sf_dir)
+    u = C.chunk_pad(f5, "tokens", "domain_id", BLOCK, PAD, keep=("domain",))     # the domain column stands for the union of tables
     return u.groupBy("domain").agg(F.count(F.lit(1)).alias("n_blocks"),
                                    F.sum("n_real").cast("long").alias("n_real_tokens"))
 
@@ -338,7 +323,7 @@ def q_domain_token_counts(spark, sf_dir):
     Blocks are domain-pure, so each block contributes (domain, n_real) and
     (-100, n_pad) - two rows instead of exploding 256 tokens.
     """
-    f5 = balance(FX.domain_documents(spark, sf_dir))
+    f5 = FX.domain_documents(spark, sf_dir)
     b = C.chunk_pad(f5, "tokens", "domain_id", BLOCK, PAD)
     parts = F.array(F.struct(F.col("domain_id").alias("d"), F.col("n_real").cast("long").alias("n")),
                     F.struct(F.lit(C.PAD_DOMAIN_ID).alias("d"), (F.lit(BLOCK) - F.col("n_real")).cast("long").alias("n")))

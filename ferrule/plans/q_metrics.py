@@ -105,15 +105,21 @@ def q_plot_points(spark, sf_dir):
                     F.round("sy", 4).alias("sy"))
 
 
-@register("q_step_tumbling_mean", O.with_(O.F7) + f"""
-SELECT CAST(w * {LOG_EVERY} AS BIGINT) AS window_end_step, round(avg({lenient('loss')}), 6) AS mean,
+@register("q_step_tumbling_mean", O.with_(O.F7, """
+lines AS (SELECT 'train' AS phase, '' AS domain, step, loss FROM f7
+          UNION ALL SELECT 'val', '', step, loss FROM f7 WHERE (row_idx // 10) % 2 = 0 AND row_idx % 70 <> 3)""") + f"""
+SELECT phase, domain, CAST(w * {LOG_EVERY} AS BIGINT) AS window_end_step, round(avg({lenient('loss')}), 6) AS mean,
        count({lenient('loss')}) AS n_values
-FROM (SELECT *, CAST(ceil({lenient('step')} / {LOG_EVERY}) AS BIGINT) AS w FROM f7 WHERE {lenient('step')} IS NOT NULL)
-GROUP BY w HAVING count(*) = {LOG_EVERY}""")
+FROM (SELECT *, CAST(ceil({lenient('step')} / {LOG_EVERY}) AS BIGINT) AS w FROM lines WHERE {lenient('step')} IS NOT NULL)
+GROUP BY phase, domain, w HAVING count(*) = {LOG_EVERY}""")
 def q_step_tumbling_mean(spark, sf_dir):
-    """MET1: tumbling mean of the loss over 10-step windows; incomplete windows not emitted."""
-    t = MT.tumbling_mean(FX.metric_rows(spark, sf_dir), "loss", LOG_EVERY)
-    return t.select("window_end_step", F.round("mean", 6).alias("mean"), "n_values")
+    """MET1: tumbling mean of the loss over 10-step windows of two phases; incomplete windows not emitted."""
+    log = FX.metric_rows(spark, sf_dir)
+    val = (F.floor(F.col("row_idx") / 10) % 2 == 0) & (F.col("row_idx") % 70 != 3)
+    phases = F.when(val, F.array(F.lit("train"), F.lit("val"))).otherwise(F.array(F.lit("train")))
+    lines = log.select("step", "loss", F.lit("").alias("domain"), F.explode(phases).alias("phase"))
+    t = MT.tumbling_mean(lines, "loss", LOG_EVERY)
+    return t.select("phase", "domain", "window_end_step", F.round("mean", 6).alias("mean"), "n_values")
 
 
 def _pretty_sql(s: str) -> str:
@@ -121,10 +127,10 @@ def _pretty_sql(s: str) -> str:
     rem = f"({s} - {h} * 3600)"
     m = f"floor({rem} / 60)"
     sec = f"floor({rem} - {m} * 60)"
-    return f"""CASE WHEN {s} < 1e-6 THEN printf('%.0f', round_even({s} * 1e9, 0)) || ' ns'
-            WHEN {s} < 1e-3 THEN printf('%.0f', round_even({s} * 1e6, 0)) || ' µs'
-            WHEN {s} < 1 THEN printf('%.0f', round_even({s} * 1e3, 0)) || ' ms'
-            WHEN {s} < 60 THEN printf('%.3f', round_even({s}, 3)) || ' s'
+    return f"""CASE WHEN {s} < 1e-6 THEN printf('%.0f', {s} * 1e9) || ' ns'
+            WHEN {s} < 1e-3 THEN printf('%.0f', {s} * 1e6) || ' µs'
+            WHEN {s} < 1 THEN printf('%.0f', {s} * 1e3) || ' ms'
+            WHEN {s} < 60 THEN printf('%.3f', {s}) || ' s'
             WHEN {h} < 1 THEN printf('%dm %ds', CAST({m} AS BIGINT), CAST({sec} AS BIGINT))
             ELSE printf('%dh %dm %ds', CAST({h} AS BIGINT), CAST({m} AS BIGINT), CAST({sec} AS BIGINT)) END"""
 

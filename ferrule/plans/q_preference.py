@@ -86,14 +86,10 @@ def q_model_side_by_side(spark, sf_dir):
     return P.side_by_side(long, models)
 
 
-@register("q_candidates")
+@register("q_candidates", O.with_(O.F1) + f"""
+SELECT pair_id, {O.rev_words(O.tok('source'), 'pair_id', 3)} AS candidate FROM f1""")
 def q_candidates(spark, sf_dir):
-    """UDF2: candidate generation through the mapInPandas hook (deterministic stand-in model).
-
-    Rows-only check: the hook runs user Python code, which has no SQL form.
-    """
+    """UDF2: candidate generation through the mapInPandas hook (deterministic stand-in model)."""
     from ferrule.functions import udf as U
-    from ferrule.operators.common import balance
-
-    f1 = balance(FX.correction_triples(spark, sf_dir))
+    f1 = FX.correction_triples(spark, sf_dir)
     return U.generate_candidates(f1, U.corrupt_words, "pair_id", "source")

@@ -1,65 +1,94 @@
 """Materialised datasets guarded by a manifest (SRC7, SNK6, SNK7, JSON_1).
 
-The data is written first and the manifest last, so a manifest's presence
-means the data is complete (the manifest is the commit marker). Re-use is
-refused when the stored manifest differs from the requested one. Everything
-goes through Spark's writers, so paths may be any shared file system.
+A build writes its rows to a new folder first and then a new manifest, numbered one above
+the last. A manifest counts once its ``_SUCCESS`` file is there, so a reader sees the old
+dataset or the new one, never a mixture, wherever a build stops. Re-use is refused when the
+stored manifest differs from the requested one. Everything goes through Spark's writers, so
+paths may be any shared file system.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MANIFEST_DIR = "_manifest"
+PLAIN_DATA = "data"     # where a dataset without any manifest lies
 
 
-def _manifest_df(spark: SparkSession, manifest: dict) -> DataFrame:
-    return spark.createDataFrame([(json.dumps(manifest, sort_keys=True),)], "manifest string")
+def _fs(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def write_manifest(spark: SparkSession, path: str, manifest: dict) -> None:
-    _manifest_df(spark, manifest).coalesce(1).write.mode("overwrite").text(f"{path}/{MANIFEST_DIR}")
+def _exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _fs(spark, path)
+    return fs.exists(p)
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the complete manifests below ``path``, in order."""
+    p, fs = _fs(spark, f"{path}/{MANIFEST_DIR}")
+    if not fs.exists(p):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()]
+    return sorted(int(n[2:]) for n in names if n.startswith("n=") and n[2:].isdigit() and _exists(spark, f"{path}/{MANIFEST_DIR}/{n}/_SUCCESS"))
+
+
+def _stored(spark: SparkSession, path: str) -> dict | None:
+    """The last complete manifest with its data folder; errors other than its absence rise."""
+    known = _versions(spark, path)
+    if not known:
+        return None
+    return json.loads(spark.read.text(f"{path}/{MANIFEST_DIR}/n={known[-1]}").first()[0])
+
+
+def write_manifest(spark: SparkSession, path: str, manifest: dict, data: str = PLAIN_DATA) -> None:
+    """Publish ``manifest`` for the rows in ``path/data``; earlier manifests stay as they are."""
+    known = _versions(spark, path)
+    row = (json.dumps({"manifest": manifest, "data": data}, sort_keys=True),)
+    spark.createDataFrame([row], "manifest string").coalesce(1).write.mode("errorifexists").text(
+        f"{path}/{MANIFEST_DIR}/n={(known[-1] if known else 0) + 1}")
 
 
 def read_manifest(spark: SparkSession, path: str) -> dict | None:
     """The stored manifest, or ``None`` when there is none (a one-row read)."""
-    try:
-        rows = spark.read.text(f"{path}/{MANIFEST_DIR}").limit(1).collect()
-    except Exception:  # noqa: BLE001 - missing path
-        return None
-    return json.loads(rows[0][0]) if rows else None
+    stored = _stored(spark, path)
+    return stored["manifest"] if stored else None
 
 
-def save_with_manifest(df: DataFrame, path: str, manifest: dict, partition_by: tuple[str, ...] = ()) -> None:
-    """SNK6: write the dataset, then its manifest."""
-    w = df.write.mode("overwrite")
+def save_with_manifest(df: DataFrame, path: str, manifest: dict, partition_by: tuple[str, ...] = ()) -> str:
+    """SNK6: write the dataset to a new folder, then its manifest; returns the folder."""
+    folder = f"data-{uuid.uuid4().hex}"
+    w = df.write.mode("errorifexists")
     if partition_by:
         w = w.partitionBy(*partition_by)
-    w.parquet(f"{path}/data")
-    write_manifest(df.sparkSession, path, manifest)
+    w.parquet(f"{path}/{folder}")
+    write_manifest(df.sparkSession, path, manifest, folder)
+    return f"{path}/{folder}"
 
 
 def load_or_build(spark: SparkSession, path: str, manifest: dict, build, rebuild: bool = False,
-                  length_capped: bool = False) -> DataFrame:
-    """SRC7: re-use a saved dataset only if its manifest equals ``manifest``.
+                  length_capped: bool = False, partition_by: tuple[str, ...] = ()) -> DataFrame:
+    """SRC7: re-use a saved dataset if its manifest equals ``manifest``.
 
-    Equal -> read it; different -> error; missing -> build and save, except
-    that a saved dataset without a manifest is refused when a length cap is in
-    use (its filter cannot be verified). ``rebuild`` always rebuilds.
+    Equal -> read it; different -> error. A dataset saved without a manifest (``path/data``) is
+    re-used as it is, except that it is refused when a length cap is in use, whose filter cannot
+    be verified. Nothing saved, or ``rebuild`` -> build and save; saved rows are never overwritten.
     """
-    stored = None if rebuild else read_manifest(spark, path)
+    stored = None if rebuild else _stored(spark, path)
     if stored is not None:
-        if stored != manifest:
-            raise ValueError(f"saved dataset at {path} was built with {stored}, requested {manifest}")
-        return spark.read.parquet(f"{path}/data")
-    if not rebuild and length_capped and _exists(spark, f"{path}/data"):
-        raise ValueError(f"dataset at {path} has no manifest; cannot verify its length cap")
-    df = build()
-    save_with_manifest(df, path, manifest)
-    return spark.read.parquet(f"{path}/data")
+        if stored["manifest"] != manifest:
+            raise ValueError(f"saved dataset at {path} was built with {stored['manifest']}, requested {manifest}")
+        return spark.read.parquet(f"{path}/{stored['data']}")
+    if not rebuild and _exists(spark, f"{path}/{PLAIN_DATA}"):
+        if length_capped:
+            raise ValueError(f"dataset at {path} has no manifest; cannot verify its length cap")
+        return spark.read.parquet(f"{path}/{PLAIN_DATA}")
+    return spark.read.parquet(save_with_manifest(build(), path, manifest, partition_by))
 
 
 def publish_version(df: DataFrame, base: str, version: str, manifest: dict) -> str:
@@ -80,12 +109,6 @@ def read_published(spark: SparkSession, base: str) -> DataFrame:
     return spark.read.parquet(m["path"])
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
 def manifest_json(df: DataFrame, cols: list[str]) -> DataFrame:
     """JSON_1: a manifest row as sorted-key JSON text."""
     return df.select(F.to_json(F.struct(*sorted(cols))).alias("manifest"))

@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from ferrule.functions import text as TX
 from ferrule.operators import chunk as C
+from ferrule.operators import metrics as M
 from ferrule.session import checkpoint_dir
 
 
@@ -31,16 +32,19 @@ def metric_stream(spark: SparkSession, directory: str, columns: list[str]) -> Da
 
 
 def tumbling_mean_stream(stream: DataFrame, value: str = "loss", every: int = 10, step: str = "step") -> DataFrame:
-    """STR1: streaming MET1 - per step window: steps seen, mean of parseable values."""
+    """STR1: streaming MET1 - per phase, domain and step window: steps seen, mean of parseable values.
+
+    A log has one line per step of a phase and domain; a line read twice counts twice here.
+    """
     s = TX.lenient_float(F.col(step))
     v = TX.lenient_float(F.col(value))
-    return (stream.where(s.isNotNull()).groupBy(F.ceil(s / F.lit(every)).cast("long").alias("window"))
+    return (stream.where(s.isNotNull()).groupBy(*M.window_keys(stream), F.ceil(s / F.lit(every)).cast("long").alias("window"))
             .agg(F.count(F.lit(1)).alias("n_steps"), F.avg(v).alias("mean"), F.count(v).alias("n_values")))
 
 
 def complete_windows(agg: DataFrame, every: int) -> DataFrame:
     return agg.where(F.col("n_steps") == every).select(
-        (F.col("window") * every).alias("window_end_step"), "mean", "n_values")
+        *M.window_keys(agg), (F.col("window") * every).alias("window_end_step"), "mean", "n_values")
 
 
 def run_available_now(df: DataFrame, name: str, output_mode: str = "update", sink=None,

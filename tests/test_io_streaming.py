@@ -1,6 +1,7 @@
 import os
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from ferrule.operators import chunk as C
@@ -86,6 +87,23 @@ def test_manifest_guarded_reuse(spark, scratch):
     except ValueError:
         pass
     assert MF.load_or_build(spark, path, {**m, "seed": 2}, build, rebuild=True).count() == 5
+    assert len([x for x in os.listdir(path) if x.startswith("data-")]) == 2     # the first build's rows are still there
+    plain = os.path.join(scratch, "plain")
+    spark.range(7).write.parquet(os.path.join(plain, "data"))       # saved without a manifest: used, not rebuilt
+    assert MF.load_or_build(spark, plain, m, build).count() == 7
+    with pytest.raises(ValueError):
+        MF.load_or_build(spark, plain, m, build, length_capped=True)
+    broken = os.path.join(path, MF.MANIFEST_DIR, "n=3")
+    os.makedirs(broken)                                             # a manifest that was never finished doesn't count
+    assert MF.read_manifest(spark, path) == {**m, "seed": 2}
+    with open(os.path.join(broken, "_SUCCESS"), "w"):
+        pass
+    with open(os.path.join(broken, "part-0.txt"), "w") as f:
+        f.write("{not json")
+    with pytest.raises(ValueError):
+        MF.load_or_build(spark, path, m, build)
+    parted = MF.load_or_build(spark, os.path.join(scratch, "parted"), m, lambda: spark.range(4).selectExpr("id", "id % 2 AS side"), partition_by=("side",))
+    assert parted.where("side = 1").count() == 2
     base = os.path.join(scratch, "pub")
     MF.publish_version(spark.range(3), base, "1", {"k": 1})
     assert MF.read_published(spark, base).count() == 3
@@ -110,6 +128,15 @@ def test_streaming_tumbling_mean_equals_batch(spark, scratch):
     assert got == want and len(want) == 3
 
 
+def test_windows_belong_to_a_phase_and_domain(spark):
+    """One line of another phase at step 10 neither fills nor breaks the train window."""
+    rows = [("train", "", str(s), "1.0") for s in range(1, 11)] + [("val", "", "10", "9.0")]
+    df = spark.createDataFrame(rows, "phase string, domain string, step string, loss string")
+    got = MT.tumbling_mean(df, "loss", 10).collect()
+    assert [(r["phase"], r["window_end_step"], r["mean"]) for r in got] == [("train", 10, 1.0)]
+    assert MT.tumbling_mean(df.unionByName(df.limit(1)), "loss", 10).count() == 1
+
+
 def test_streaming_chunking_equals_batch(spark, scratch):
     from ferrule.plans import fixtures as FX
     src = os.path.join(scratch, "docs")

@@ -1,7 +1,9 @@
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
+from ferrule.functions import arrays as A
 from ferrule.operators import router as R
 from ferrule.plans import fixtures as FX
 
@@ -69,18 +71,37 @@ def test_dominant_expert_tie_goes_to_lowest(spark):
 def test_before_after_and_missing_key(spark):
     before = spark.createDataFrame([("code", 2.0), ("math", 1.0)], "domain string, loss double")
     after = spark.createDataFrame([("code", 1.5)], "domain string, loss double")
-    rows = {r["domain"]: r for r in R.before_after(before, after, "domain", "loss").collect()}
+    rows = {r["domain"]: r for r in R.before_after(before.where("domain = 'code'"), after, "domain", "loss").collect()}
     assert rows["code"]["change"] == -0.5 and rows["code"]["direction"] == "good"
-    try:
-        R.assert_complete(R.before_after(before, after, "domain", "loss"))
-        raise AssertionError("missing key not detected")
-    except ValueError:
-        pass
-
-
-def test_batch_mean_loss_is_mean_of_batch_means(spark):
-    rows = [(b, p, 0, float(b + 1)) for b in range(5) for p in range(2 if b < 4 else 1)]
-    df = spark.createDataFrame(rows, "block_id long, pos int, domain_id int, nll double")
-    r = R.batch_mean_loss(df, 4).first()
-    assert abs(r["loss"] - (2.5 + 5.0) / 2) < 1e-9 and r["n_batches"] == 2
-    assert abs(r["token_mean_loss"] - (2 * (1 + 2 + 3 + 4) + 5) / 9) < 1e-9
+    with pytest.raises(Exception, match="no 'after' row for domain math"):
+        R.before_after(before, after, "domain", "loss").collect()
+    null = spark.createDataFrame([("code", None), ("math", 3.0)], "domain string, loss double")
+    rows = {r["domain"]: r["direction"] for r in R.before_after(before, null, "domain", "loss").collect()}
+    assert rows == {"code": None, "math": "bad"}
+
+
+def test_parity_tolerance(spark):
+    a = spark.createDataFrame([(1, [1.0, 2.0]), (2, [0.0, 1.0])], "k long, logits array<double>")
+    b = spark.createDataFrame([(1, [1.0, 2.5]), (2, [0.0, 1.0])], "k long, logits array<double>")
+    assert R.max_abs_diff(a, b, ["k"]).first()["max_abs_diff"] == 0.5
+    assert R.max_abs_diff(a, b, ["k"], tolerance=0.5).first()["n_compared"] == 2
+    with pytest.raises(Exception, match="tables differ"):
+        R.max_abs_diff(a, b, ["k"], tolerance=0.1).collect()
+    with pytest.raises(Exception, match="tables differ"):
+        R.max_abs_diff(a, b.where("k = 1"), ["k"], tolerance=9.0).collect()
+
+
+def test_softmax_is_linear_in_the_expert_count(spark):
+    import time
+    times = {}
+    for n in (4, 64):
+        df = spark.range(0, 20_000, 1, 1).select(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: (F.col("id") % (i + 7)).cast("double")).alias("z")).cache()
+        df.count()
+        out = df.select(A.softmax("z").alias("p"), A.nll_at("z", F.lit(1)).alias("l"))
+        out.write.format("noop").mode("overwrite").save()
+        start = time.perf_counter()
+        out.write.format("noop").mode("overwrite").save()
+        times[n] = time.perf_counter() - start
+        assert abs(out.select(A.array_sum("p").alias("s")).first()["s"] - 1) < 1e-9
+        df.unpersist()
+    assert times[64] < 25 * times[4] + 0.5
