@@ -5,12 +5,12 @@ two 32-bit halves. So every distinct fingerprint is indexed under each half with
 left out (64 keys); an equality on the key finds every such pair, and the bit distance
 verifies it. Copies with one fingerprint are one class throughout.
 
-Keys are counted with partial aggregation. A key of two members is its own candidate pair.
-A key of more members is gathered and reduced to the links of a spanning forest, never to
-all pairs. A key of more than ``MOST`` members is first split by the same rule on the bits
-that its members needn't share (halves of 16, then of 8 bits): after the third split the
-members of a key can differ in 8 bits and three left-out bits only, so there are at most
-2 ** 11 of them. Nothing is capped or skipped.
+The index is shuffled once by key and read as a sorted stream, whatever its size: a key of one
+member costs nothing, and a key of more is reduced to the links of a spanning forest, never to
+all pairs. A key of more than ``MOST`` members isn't gathered: its members are indexed again by
+the same rule on the bits that they needn't share (halves of 16, then of 8 bits). After the
+third split the members of a key can differ in 8 bits and three left-out bits only, so there
+are at most 2 ** 11 of them. Nothing is capped or skipped.
 """
 
 from __future__ import annotations
@@ -76,7 +76,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shing
 
 
 def _split(rows: DataFrame, width: int) -> DataFrame:
-    """``(key, lo, fp)``: one row for each half of the ``width`` open bits from ``lo`` and each bit left out of it.
+    """``(key, lo, bit, fp)``: one row for each half of the ``width`` open bits from ``lo`` and each bit left out of it.
 
     The new key holds the old one and the half without the bit; the other half stays open.
     """
@@ -86,47 +86,97 @@ def _split(rows: DataFrame, width: int) -> DataFrame:
         here, there = (F.col("lo"), F.col("lo") + half) if low else (F.col("lo") + half, F.col("lo"))
         value = F.expr(f"shiftrightunsigned(fp, lo{'' if low else f' + {half}'})").bitwiseAND(F.lit((1 << half) - 1))
         keys += [F.struct(F.xxhash64("key", here, F.lit(i), value.bitwiseAND(F.lit(((1 << half) - 1) & ~(1 << i)))).alias("key"),
-                          there.cast("int").alias("lo"), "fp") for i in range(half)]
+                          there.cast("int").alias("lo"), (here + i).cast("int").alias("bit"), "fp") for i in range(half)]
     return rows.select(F.explode(F.array(*keys)).alias("r")).select("r.*")
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of a spanning forest of each list of fingerprints (walks from each unseen member)."""
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 64):
-            a, b = [], []
-            for members in batch.column(0).slice(lo, 64):
-                rest = np.array(members.values).view(np.uint64)
-                while len(rest):
-                    stack, rest = [rest[0]], rest[1:]
-                    while stack and len(rest):
-                        at = stack.pop()
-                        near = np.bitwise_count(rest ^ at) <= MAX_BITS
-                        found, rest = rest[near], rest[~near]
-                        a += [at] * len(found)
-                        b += found.tolist()
-                        stack += list(found)
-            if a:
-                yield pa.RecordBatch.from_pydict({"a": pa.array(np.array(a, dtype=np.uint64).view(np.int64)),
-                                                  "b": pa.array(np.array(b, dtype=np.uint64).view(np.int64))})
+def _forest(members: np.ndarray) -> list[tuple[int, int]]:
+    """Links of a spanning forest of fingerprints (walks from each unseen member)."""
+    found, rest = [], members
+    while len(rest):
+        stack, rest = [rest[0]], rest[1:]
+        while stack and len(rest):
+            at = stack.pop()
+            near = np.bitwise_count(rest ^ at) <= MAX_BITS
+            for x in rest[near]:
+                found.append((int(at), int(x)))
+                stack.append(x)
+            rest = rest[~near]
+    return found
+
+
+def _scan(half: int, most: int):
+    """A reader of sorted ``(key, lo, bit, fp)`` rows: links ``(a, b)`` of keys up to ``most`` members, and the rows of larger keys.
+
+    Members that agree on the left-out bit agree on the whole half, and then share the key of the
+    half's first bit as well; so other keys of that kind are left to it.
+    """
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(links: list[tuple[int, int]], over: list[np.ndarray]) -> pa.RecordBatch:
+            ab = np.array(links, dtype=np.uint64).reshape(-1, 2).view(np.int64)
+            rest = np.concatenate(over) if over else np.zeros((0, 4), np.int64)
+            column = lambda x, n, first: pa.array(np.concatenate([np.zeros(n, np.int64), x] if not first else [x, np.zeros(n, np.int64)]),
+                                                  mask=np.arange(len(x) + n) < n if not first else np.arange(len(x) + n) >= len(x))
+            return pa.RecordBatch.from_pydict({"a": column(ab[:, 0], len(rest), True), "b": column(ab[:, 1], len(rest), True),
+                                               "key": column(rest[:, 0], len(ab), False), "lo": column(rest[:, 1], len(ab), False).cast(pa.int32()),
+                                               "fp": column(rest[:, 3], len(ab), False)})
+
+        def links_of(run: np.ndarray) -> list[tuple[int, int]]:
+            bit = int(run[0, 2])
+            members = np.unique(run[:, 3].view(np.uint64))
+            side = members >> np.uint64(bit) & np.uint64(1)
+            if len(members) < 2 or (bit % half and (side == side[0]).all()):
+                return []
+            return _forest(members)
+
+        held, large = np.zeros((0, 4), np.int64), None      # rows of the last key; its name if it is too large
+        for batch in batches:
+            rows = np.column_stack([batch.column(c).to_numpy().astype(np.int64) for c in range(4)])
+            found, over = [], []
+            if large is not None:
+                same = int(np.searchsorted(rows[:, 0] != large, True))
+                over.append(rows[:same])
+                rows = rows[same:]
+                if not len(rows):
+                    yield out(found, over)
+                    continue
+                large = None
+            rows = np.concatenate([held, rows])
+            start = np.concatenate([[0], np.flatnonzero(rows[1:, 0] != rows[:-1, 0]) + 1])
+            stop = np.concatenate([start[1:], [len(rows)]])
+            size = stop - start
+            for k in np.flatnonzero(size[:-1] > 1).tolist():
+                run = rows[start[k]:stop[k]]
+                if len(run) > most:
+                    over.append(run)
+                else:
+                    found += links_of(run)
+            held = rows[start[-1]:]
+            if len(held) > most:
+                over.append(held)
+                large, held = int(held[0, 0]), held[:0]
+            if found or over:
+                yield out(found, over)
+        if len(held) > 1:
+            yield out(links_of(held), [])
+
+    return work
 
 
 def links(fps: DataFrame) -> DataFrame:
     """``(a, b)``: links of distinct fingerprints ``fp`` that connect all that are within ``MAX_BITS`` bits by steps."""
-    rows, width, out = fps.select(F.lit(0).cast("long").alias("key"), F.lit(0).alias("lo"), "fp"), 64, None
+    rows, width, found = fps.select(F.lit(0).cast("long").alias("key"), F.lit(0).alias("lo"), "fp"), 64, None
     while width > 8:
-        rows, width = _split(rows, width), width // 2
-        groups = rows.groupBy("key", "lo").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"))
-        groups = materialise(groups.where("n > 1"), f"keys{width}")
-        pairs = groups.where("n = 2").select("a", "b").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS)
-        some = groups.where(f"n > 2 AND n <= {MOST}" if width > 8 else "n > 2").select("key", "lo")
-        lists = rows.join(some, ["key", "lo"], "left_semi").groupBy("key", "lo").agg(F.sort_array(F.collect_set("fp")).alias("m"))
-        found = pairs.unionByName(lists.select("m").distinct().mapInArrow(_forest, "a long, b long"))
-        out = found if out is None else out.unionByName(found)
-        if width == 8 or groups.where(f"n > {MOST}").isEmpty():
+        index, width = _split(rows, width), width // 2
+        most = MOST if width > 8 else 1 << 62
+        scanned = index.repartition("key").sortWithinPartitions("key").mapInArrow(_scan(width, most), "a long, b long, key long, lo int, fp long")
+        scanned = materialise(scanned, f"links{width}")
+        some = scanned.where("a IS NOT NULL").select("a", "b")
+        found = some if found is None else found.unionByName(some)
+        rows = scanned.where("key IS NOT NULL").select("key", "lo", "fp")
+        if rows.isEmpty():
             break
-        rows = rows.join(groups.where(f"n > {MOST}").select("key", "lo"), ["key", "lo"], "left_semi")
-    return out
+    return found
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, max_bits: int = MAX_BITS) -> DataFrame:
