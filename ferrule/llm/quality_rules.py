@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 #: White space between words, as a class for the pattern functions.
 GAPS = "[\\x20\\x09-\\x0D]+"
-SPACES = " \t\n\x0b\x0c\r"
+ANY_WORD = "[^\\x20\\x09-\\x0D]"
 SYMBOLS = "#*$%&|<>"
 
 # The line rules. Written without look-around, so any pattern engine reads them alike.
@@ -32,15 +32,15 @@ LONG_LINE = 40
 ENDS = "[.!?…。:;]"
 
 
-def _gap_free(text: Column) -> Column:
-    return F.length(F.translate(text, SPACES, ""))
+def _without(text: Column, characters: str) -> Column:
+    """Length of a text without the characters of a class."""
+    return F.length(F.regexp_replace(text, f"[{characters}]", ""))
 
 
 def line_fails(line: Column) -> dict[str, Column]:
     """The three rules for one line, as boolean columns."""
-    marks = F.length(line) - F.length(F.translate(line, SYMBOLS + "!", ""))
     n_words = F.size(F.split(F.trim(F.regexp_replace(line, GAPS, " ")), " "))
-    return {"punctuation": (marks > F.length(line) * F.lit(MAX_MARKS)) | ((n_words >= LONG_LINE) & ~line.rlike(ENDS)),
+    return {"punctuation": (F.length(line) - _without(line, SYMBOLS + "!") > F.length(line) * F.lit(MAX_MARKS)) | (~line.rlike(ENDS) & (n_words >= LONG_LINE)),
             "navigation": line.rlike(NAV_SEPARATED) | line.rlike(NAV_WORDS),
             "boilerplate": line.rlike(BOILERPLATE)}
 
@@ -66,23 +66,28 @@ def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", max_
     step = step.withColumn("_starts", F.expr(
         "transform(filter(_windows, (w, k) -> (k > 0 AND w.h = _windows[k - 1].h) OR (k < size(_windows) - 1 AND w.h = _windows[k + 1].h)), w -> w.i)"))
     step = step.withColumn("n_repeat_words", F.expr("size(array_distinct(flatten(transform(_starts, i -> array(i, i + 1, i + 2)))))").cast("long"))
-    step = step.withColumn("_lines", F.filter(F.split("_t", "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0))
+    step = step.withColumn("_lines", F.filter(F.split("_t", "\n"), lambda x: x.rlike(ANY_WORD)))
     rules = lambda x: F.struct(x.alias("line"), *(c.alias(n) for n, c in line_fails(x).items()))
     step = step.withColumn("_judged", F.transform("_lines", rules))
     step = step.withColumn("_clean", F.array_join(F.transform(
         F.filter("_judged", lambda x: ~(x["punctuation"] | x["navigation"] | x["boilerplate"])), lambda x: x["line"]), "\n"))
-    n_words, chars = F.size("_words").cast("long"), _gap_free(F.col("_t"))
-    clean_flat = F.trim(F.regexp_replace("_clean", GAPS, " "))
-    clean_words = F.when(F.length(clean_flat) > 0, F.length(clean_flat) - F.length(F.translate(clean_flat, " ", "")) + 1).otherwise(0)
+    # Words stand between single spaces, so their characters are the length less the spaces.
+    counts = lambda flat, words: F.struct(words.cast("long").alias("n"), (F.length(flat) - F.greatest(words - 1, F.lit(0))).cast("long").alias("chars"))
+    step = step.withColumn("_all", counts(F.col("_flat"), F.size("_words")))
+    step = step.withColumn("_clean_flat", F.when(F.expr("exists(_judged, x -> x.punctuation OR x.navigation OR x.boilerplate)"),
+                                                 F.trim(F.regexp_replace("_clean", GAPS, " "))))
+    left = F.when(F.length("_clean_flat") > 0, counts(F.col("_clean_flat"), F.size(F.split("_clean_flat", " ")))).when(
+        F.col("_clean_flat").isNull(), F.col("_all")).otherwise(F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("chars")))
+    step = step.withColumn("_left", left)
     step = step.select(
-        key, n_words.alias("n_words"), chars.cast("long").alias("word_chars"),
-        (F.length("_t") - F.length(F.translate("_t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        key, F.col("_all.n").alias("n_words"), F.col("_all.chars").alias("word_chars"),
+        (F.length("_t") - _without(F.col("_t"), SYMBOLS)).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"), "n_repeat_words",
         F.size("_lines").cast("long").alias("n_lines"),
         *(F.expr(f"cast(size(filter(_judged, x -> x.{r})) AS bigint) AS n_{r}") for r in ("punctuation", "navigation", "boilerplate")),
-        F.col("_clean").alias("clean_text"), clean_words.cast("long").alias("clean_words"), _gap_free(F.col("_clean")).alias("_left"))
+        F.col("_clean").alias("clean_text"), F.col("_left.n").alias("clean_words"), F.col("_left.chars").alias("_left_chars"))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    lost = F.col("word_chars") - F.col("_left")
+    lost = F.col("word_chars") - F.col("_left_chars")
     return step.select(
         key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
         (~failed & (lost <= F.col("word_chars") * F.lit(max_lost)) & (F.col("clean_words") >= min_words)).alias("kept"),
