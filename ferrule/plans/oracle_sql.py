@@ -41,9 +41,9 @@ def domain_name(expr: str) -> str:
 
 
 F1 = f"""
-f1_tok AS (
+f1_tok AS NOT MATERIALIZED (
   SELECT doc_id AS pair_id, {tok(fold('text'))} AS tok FROM documents),
-f1 AS (
+f1 AS NOT MATERIALIZED (
   SELECT pair_id,
          'Fix this text: ' || {rev_words('tok', 'pair_id', 7)} AS src,
          {rev_words('tok', 'pair_id', 7)} AS source,
@@ -121,6 +121,21 @@ f7 AS (
   FROM events)"""
 
 
+def distances(table: str, pairs: dict[str, tuple[str, str]], name: str = "dist", key: str = "pair_id", parts: int = 4) -> str:
+    """CTE ``name(key, <pair>..)`` of edit distances; equal texts are 0 without filling a table.
+
+    Every pair and every ``parts``-th key is an arm of its own; arms run side by side as long as ``table``
+    is not materialised.
+    """
+    arms = "\n    UNION ALL ".join(
+        f"SELECT {key}, '{p}' AS pair, CAST(CASE WHEN {a} = {b} THEN 0 ELSE levenshtein({a}, {b}) END AS BIGINT) AS d "
+        f"FROM {table} WHERE {key} % {parts} = {k}" for p, (a, b) in pairs.items() for k in range(parts))
+    cols = ", ".join(f"max(d) FILTER (WHERE pair = '{p}') AS {p}" for p in pairs)
+    return f"""
+{name} AS MATERIALIZED (SELECT {key}, {cols} FROM (
+    {arms}) GROUP BY {key})"""
+
+
 def with_(*ctes: str) -> str:
     return "WITH " + ",".join(c.strip("\n") for c in ctes) + "\n"
 

@@ -9,9 +9,8 @@ from ferrule.plans import fixtures as FX
 from ferrule.plans import oracle_sql as O
 from ferrule.plans.catalog import register
 
-_DIST = """
-d AS MATERIALIZED (SELECT pair_id, src, reference, candidate, candidate_2,
-             levenshtein(candidate, reference) AS d1, levenshtein(candidate_2, reference) AS d2 FROM f1)"""
+_DIST = O.distances("f1", {"d1": ("candidate", "reference"), "d2": ("candidate_2", "reference")}) + """,
+d AS (SELECT pair_id, src, reference, candidate, candidate_2, d1, d2 FROM f1 JOIN dist USING (pair_id))"""
 
 
 def _split_tables(spark, sf_dir):
@@ -52,11 +51,10 @@ def q_preference_stats(spark, sf_dir):
     return P.preference_stats(prompts, cands)
 
 
-_LONG = """
-lc AS (SELECT pair_id, 1 AS cand_id, candidate AS text, reference FROM f1
-       UNION ALL SELECT pair_id, 2, candidate_2, reference FROM f1
-       UNION ALL SELECT pair_id, 3, source, reference FROM f1),
-ld AS MATERIALIZED (SELECT pair_id, cand_id, text, levenshtein(text, reference) AS dist FROM lc),
+_LONG = O.distances("f1", {"c1": ("candidate", "reference"), "c2": ("candidate_2", "reference"), "c3": ("source", "reference")}, "by_cand") + """,
+ld AS (SELECT pair_id, 1 AS cand_id, candidate AS text, c1 AS dist FROM f1 JOIN by_cand USING (pair_id)
+       UNION ALL SELECT pair_id, 2, candidate_2, c2 FROM f1 JOIN by_cand USING (pair_id)
+       UNION ALL SELECT pair_id, 3, source, c3 FROM f1 JOIN by_cand USING (pair_id)),
 lr AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY dist, cand_id) AS rb,
               row_number() OVER (PARTITION BY pair_id ORDER BY dist DESC, cand_id) AS rw FROM ld)"""
 
