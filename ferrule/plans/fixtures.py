@@ -124,7 +124,7 @@ def domain_documents(spark: SparkSession, sf_dir: str, eos: str = T.EOS_TOKEN) -
     docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id")
     did = (F.substring("source", 4, 1 << 20).cast("int") % 3).cast("int")
     return docs.select("doc_id", domain_name(did).alias("domain"), did.alias("domain_id"),
-                       F.concat(T.tokens(T.fold_ascii("text")), F.array(F.lit(eos))).alias("tokens"))
+                       F.concat(T.tokens("text"), F.array(F.lit(eos))).alias("tokens"))
 
 
 def chat_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

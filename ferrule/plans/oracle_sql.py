@@ -7,7 +7,8 @@ DuckDB lambdas are ``lambda x, i: ...`` with a 1-based index.
 
 from __future__ import annotations
 
-ASCII_WS = r"[\t\n\x0b\f\r \x1c-\x1f]"
+# white space of Python's str.split(), Unicode included
+SPACE = r"[\t\n\x0b\f\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
 def fold(expr: str) -> str:
@@ -15,11 +16,11 @@ def fold(expr: str) -> str:
 
 
 def tok(expr: str) -> str:
-    return f"list_filter(regexp_split_to_array({expr}, '{ASCII_WS}+'), lambda x: x <> '')"
+    return f"list_filter(regexp_split_to_array({expr}, '{SPACE}+'), lambda x: x <> '')"
 
 
 def strip(expr: str) -> str:
-    return f"regexp_replace({expr}, '^{ASCII_WS}+|{ASCII_WS}+$', '', 'g')"
+    return f"regexp_replace({expr}, '^{SPACE}+|{SPACE}+$', '', 'g')"
 
 
 def rev_words(tok_expr: str, key: str, mod: int) -> str:
@@ -103,7 +104,7 @@ F5 = f"""
 f5 AS (
   SELECT doc_id, {domain_name("CAST(substr(source, 4) AS INTEGER) % 3")} AS domain,
          CAST(CAST(substr(source, 4) AS INTEGER) % 3 AS INTEGER) AS domain_id,
-         list_concat({tok(fold('text'))}, ['<eos>']) AS tokens
+         list_concat({tok('text')}, ['<eos>']) AS tokens
   FROM documents)"""
 
 F6 = """

@@ -231,7 +231,7 @@ def q_sample_k(spark, sf_dir):
 @register("q_domain_preview", f"""
 SELECT domain, CAST(rn AS INTEGER) AS rank, doc_id, preview FROM (
   SELECT {O.domain_name("CAST(substr(source, 4) AS INTEGER) % 3")} AS domain, doc_id,
-         substr({O.fold('text')}, 1, 200) AS preview,
+         substr(text, 1, 200) AS preview,
          row_number() OVER (PARTITION BY CAST(substr(source, 4) AS INTEGER) % 3
                             ORDER BY {_md5(SPLIT_SEED, 'doc_id')}) AS rn
   FROM documents) WHERE rn <= 2""")
@@ -240,7 +240,7 @@ def q_domain_preview(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     did = (F.substring("source", 4, 1 << 20).cast("int") % 3).cast("int")
     d = docs.select("doc_id", FX.domain_name(did).alias("domain"),
-                    F.substring(F.regexp_replace("text", r"[^\x00-\x7F]", "?"), 1, 200).alias("preview"))
+                    F.substring("text", 1, 200).alias("preview"))
     w = Window.partitionBy("domain").orderBy(OR.seeded_hash(SPLIT_SEED, "doc_id"), F.col("doc_id"))
     ranked = d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= 2)   # WindowGroupLimit
     return ranked.select("domain", "rank", "doc_id", "preview")
