@@ -8,8 +8,10 @@ the same code runs under tests on ``local[*]`` and under spark-submit.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 # Settings we want everywhere; applied only when the session has no value yet.
@@ -34,11 +36,14 @@ def get_session(master: str | None = None, app_name: str = "ferrule",
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
+    given = SparkConf()     # what spark-submit or spark-defaults already say
     for key, value in _DEFAULTS.items():
-        builder = builder.config(key, value)
+        if not given.contains(key):
+            builder = builder.config(key, value)
     if shuffle_partitions is not None:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    builder = builder.config("spark.driver.memory", os.environ.get("FERRULE_DRIVER_MEMORY", "16g"))
+    if not given.contains("spark.driver.memory") and (master or "").startswith("local"):
+        builder = builder.config("spark.driver.memory", os.environ.get("FERRULE_DRIVER_MEMORY", "16g"))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
@@ -57,6 +62,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if current:
         return current
     if not configured:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="ferrule-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
     sc.setCheckpointDir(configured)
