@@ -95,8 +95,8 @@ def gather_turns(turns: DataFrame, key: str = "conv_id", order: str = "turn", ro
 
 
 def flatten_chat(input_col: str = "input", scalar_col: str | None = None) -> Column:
-    """PRJ5: join turn contents with newlines (missing content -> ''); a scalar input -> its text."""
-    joined = F.array_join(F.transform(F.col(input_col), lambda t: F.coalesce(t["content"], F.lit(""))), "\n")
+    """PRJ5: join turn contents with newlines (missing content -> '', a null turn is skipped); a scalar input -> its text."""
+    joined = F.array_join(F.transform(F.filter(F.col(input_col), lambda t: t.isNotNull()), lambda t: F.coalesce(t["content"], F.lit(""))), "\n")
     if scalar_col is None:
         return joined
     return F.when(F.col(input_col).isNotNull(), joined).otherwise(F.col(scalar_col).cast("string"))

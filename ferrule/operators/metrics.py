@@ -24,14 +24,19 @@ PLOT_W = WIDTH - LEFT - RIGHT
 PLOT_H = HEIGHT - TOP - BOTTOM
 
 
+def file_key(df: DataFrame) -> list[str]:
+    """``["file"]`` for logs read from files, whose charts are kept apart; nothing for one log."""
+    return ["file"] if "file" in df.columns else []
+
+
 def candidate_metric_columns(df: DataFrame, exclude: tuple[str, ...] = EXCLUDED,
                              index_col: str = "row_idx") -> list[str]:
-    return [c for c in df.columns if c not in exclude and c != index_col]
+    return [c for c in df.columns if c not in exclude and c not in (index_col, "file")]
 
 
 def unpivot_metrics(df: DataFrame, metrics: list[str], index_col: str = "row_idx") -> DataFrame:
     """One row per (log row, metric) with the raw text value."""
-    keep = [c for c in (index_col, "phase", "step", "domain") if c in df.columns]
+    keep = [c for c in ("file", index_col, "phase", "step", "domain") if c in df.columns]
     items = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("string").alias("raw")) for m in metrics])
     return df.select(*keep, F.explode(items).alias("__m")).select(*keep, "__m.metric", "__m.raw")
 
@@ -50,50 +55,51 @@ def numeric_columns(df: DataFrame, exclude: tuple[str, ...] = EXCLUDED, index_co
 
 
 def series_points(df: DataFrame, metrics: list[str], index_col: str = "row_idx") -> DataFrame:
-    """MET3: ``(metric, series, x, y)``; x = step or the row index; null y skipped."""
+    """MET3: ``([file,] metric, series, x, y)``; x = step or the row index; null y skipped."""
     u = unpivot_metrics(df, metrics, index_col)
     y = T.lenient_float(F.col("raw"))
     x = F.coalesce(T.lenient_float(F.col("step")) if "step" in df.columns else F.lit(None).cast("double"),
                    F.col(index_col).cast("double"))
     phase = F.col("phase") if "phase" in df.columns else F.lit("")
     domain = F.col("domain") if "domain" in df.columns else F.lit("")
-    return u.select("metric", T.series_key(phase, domain).alias("series"), x.alias("x"), y.alias("y")) \
+    return u.select(*file_key(u), "metric", T.series_key(phase, domain).alias("series"), x.alias("x"), y.alias("y")) \
         .where(F.col("y").isNotNull())
 
 
 def series_summary(points: DataFrame) -> DataFrame:
-    """MET3/MET7/ORD10: per (metric, series): point count, x range, first/last y in (x, y) order."""
-    return points.groupBy("metric", "series").agg(
+    """MET3/MET7/ORD10: per ([file,] metric, series): point count, x range, first/last y in (x, y) order."""
+    return points.groupBy(*file_key(points), "metric", "series").agg(
         F.count(F.lit(1)).alias("n_points"), F.min("x").alias("min_x"), F.max("x").alias("max_x"),
         F.min_by("y", F.struct("x", "y")).alias("first_y"), F.max_by("y", F.struct("x", "y")).alias("last_y"),
         F.sum("y").alias("sum_y"))
 
 
 def sorted_points(points: DataFrame) -> DataFrame:
-    """ORD10 for plotting: points sorted by (metric, series, x, y) - a distributed range sort."""
-    return points.orderBy("metric", "series", "x", "y")
+    """ORD10 for plotting: points sorted by ([file,] metric, series, x, y) - a distributed range sort."""
+    return points.orderBy(*file_key(points), "metric", "series", "x", "y")
 
 
 def axis_range(points: DataFrame) -> DataFrame:
-    """MET4: per metric, x/y range over all series; equal ends widened by 1; y padded by 8 %."""
-    r = points.groupBy("metric").agg(F.min("x").alias("x0"), F.max("x").alias("x1"),
+    """MET4: per [file and] metric, x/y range over all series; equal ends widened by 1; y padded by 8 %."""
+    by = [*file_key(points), "metric"]
+    r = points.groupBy(*by).agg(F.min("x").alias("x0"), F.max("x").alias("x1"),
                                      F.min("y").alias("y0"), F.max("y").alias("y1"))
     same_x = F.col("x0") == F.col("x1")
     same_y = F.col("y0") == F.col("y1")
-    r = r.select("metric",
+    r = r.select(*by,
                  F.when(same_x, F.col("x0") - 1).otherwise(F.col("x0")).alias("min_x"),
                  F.when(same_x, F.col("x1") + 1).otherwise(F.col("x1")).alias("max_x"),
                  F.when(same_y, F.col("y0") - 1).otherwise(F.col("y0")).alias("y0"),
                  F.when(same_y, F.col("y1") + 1).otherwise(F.col("y1")).alias("y1"))
     pad = (F.col("y1") - F.col("y0")) * Y_PAD
-    return r.select("metric", "min_x", "max_x", (F.col("y0") - pad).alias("min_y"), (F.col("y1") + pad).alias("max_y"))
+    return r.select(*by, "min_x", "max_x", (F.col("y0") - pad).alias("min_y"), (F.col("y1") + pad).alias("max_y"))
 
 
 def axis_ticks(ranges: DataFrame) -> DataFrame:
     """MET5: five evenly spaced ticks per axis with their pixel positions."""
     t = ranges.select("*", F.explode(F.sequence(F.lit(0), F.lit(N_TICKS - 1))).alias("tick"))
     frac = F.col("tick") / F.lit(float(N_TICKS - 1))
-    return t.select("metric", "tick",
+    return t.select(*file_key(t), "metric", "tick",
                     (F.lit(float(TOP)) + frac * PLOT_H).alias("y_px"),
                     (F.col("max_y") - frac * (F.col("max_y") - F.col("min_y"))).alias("y_value"),
                     (F.lit(float(LEFT)) + frac * PLOT_W).alias("x_px"),
@@ -103,13 +109,12 @@ def axis_ticks(ranges: DataFrame) -> DataFrame:
 def plot_points(points: DataFrame, ranges: DataFrame) -> DataFrame:
     """MET6: pixel coordinates of every point.
 
-    ``ranges`` has one row per metric column of the log (bounded by the header
-    width), so it is broadcast.
+    ``ranges`` has one row per [file and] metric; the join side is left to AQE.
     """
-    j = points.join(F.broadcast(ranges), "metric")
+    j = points.join(ranges, [*file_key(points), "metric"])
     sx = F.lit(float(LEFT)) + (F.col("x") - F.col("min_x")) / (F.col("max_x") - F.col("min_x")) * PLOT_W
     sy = F.lit(float(TOP)) + (F.col("max_y") - F.col("y")) / (F.col("max_y") - F.col("min_y")) * PLOT_H
-    return j.select("metric", "series", "x", "y", sx.alias("sx"), sy.alias("sy"))
+    return j.select(*file_key(points), "metric", "series", "x", "y", sx.alias("sx"), sy.alias("sy"))
 
 
 def window_keys(df: DataFrame) -> list[str]:

@@ -174,7 +174,7 @@ def batch_mean_loss(token_nll: DataFrame, batch_size: int, group: str | None = N
     """LOS2/LOS3: mean of per-batch token means (batches of consecutive blocks in block order).
 
     A short last batch weighs as much as a full one; the token mean is given
-    as a second column. With ``group``, batches are formed inside each group.
+    as a second column. Without any batch and group, both are 0. With ``group``, batches are formed inside each group.
     """
     part = (group,) if group else ()
     b = block_sums(token_nll, part)
@@ -182,7 +182,8 @@ def batch_mean_loss(token_nll: DataFrame, batch_size: int, group: str | None = N
     batched = ranked.withColumn("batch_id", F.floor((F.col("pos") - 1) / batch_size))
     per_batch = batched.groupBy(*part, "batch_id").agg((F.sum("s") / F.sum("c")).alias("m"),
                                                        F.sum("s").alias("s"), F.sum("c").alias("c"))
-    return per_batch.groupBy(*part).agg(F.avg("m").alias("loss"), (F.sum("s") / F.sum("c")).alias("token_mean_loss"),
+    return per_batch.groupBy(*part).agg(F.coalesce(F.avg("m"), F.lit(0.0)).alias("loss"),
+                                        F.coalesce(F.sum("s") / F.sum("c"), F.lit(0.0)).alias("token_mean_loss"),
                                         F.count(F.lit(1)).alias("n_batches"))
 
 

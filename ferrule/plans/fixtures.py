@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ferrule.functions import arrays as A
 from ferrule.functions import text as T
+from ferrule.operators import instruct as I
 from ferrule.sources.tables import read_table
 
 # --- fixed values: domain dimension ------------------------------------------
@@ -70,12 +71,8 @@ def correction_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
 def turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """a user turn and the next assistant turn, text folded to ASCII."""
     conv = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    nxt = conv.select("conv_id", "turn", "role", "text",
-                      F.lead("role").over(w).alias("next_role"),
-                      F.lead("text").over(w).alias("next_text"))
-    return nxt.where((F.col("role") == "user") & (F.col("next_role") == "assistant")).select(
-        "conv_id", "turn", T.fold_ascii("text").alias("src"), T.fold_ascii("next_text").alias("tgt"))
+    pairs = I.consecutive_turn_pairs(conv)
+    return pairs.select("conv_id", "turn", T.fold_ascii("src").alias("src"), T.fold_ascii("tgt").alias("tgt"))
 
 
 def router_logits(spark: SparkSession, sf_dir: str, after: bool = False,
@@ -130,10 +127,7 @@ def domain_documents(spark: SparkSession, sf_dir: str, eos: str = T.EOS_TOKEN) -
 def chat_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """one nested row per conversation, turns sorted by ``turn``."""
     conv = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
-    return conv.groupBy("conv_id").agg(turns.alias("t")).select(
-        "conv_id",
-        F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content"))).alias("input"))
+    return I.gather_turns(conv)
 
 
 def metric_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ def test_metric_log_round_trip(spark, scratch):
     path = os.path.join(scratch, "metrics")
     rows = spark.createDataFrame([("train", 1, 2.5)], "phase string, step int, loss double")
     SK.append_metric_rows(rows, path, ["phase", "step", "loss"])
-    back = MC.read_metric_csv(spark, path).drop("file").collect()
+    back = MC.read_metric_csv(spark, path).drop("file", "row_idx").collect()
     assert [r.asDict() for r in back] == [{"phase": "train", "step": "1", "loss": "2.5"}]
     SK.append_metric_rows(spark.createDataFrame([("train", 2)], "phase string, step int"), path,
                           ["phase", "step", "loss"])
@@ -32,8 +32,8 @@ def test_read_metric_logs_with_different_headers(spark, scratch):
     pd.DataFrame({"phase": ["train"], "step": ["1"], "loss": ["2"]}).to_csv(a, index=False)
     pd.DataFrame({"phase": ["val"], "step": ["1"], "val_loss": ["3"]}).to_csv(b, index=False)
     df = MC.read_metric_logs(spark, os.path.join(scratch, "*metrics*.csv"))
-    assert set(df.columns) == {"phase", "step", "loss", "val_loss", "file"}
-    nums = {r["column"] for r in MT.numeric_columns(df.drop("file"), index_col="file").collect()}
+    assert set(df.columns) == {"phase", "step", "loss", "val_loss", "file", "row_idx"}
+    nums = {r["column"] for r in MT.numeric_columns(df).collect()}
     assert nums == {"loss", "val_loss"}
 
 
@@ -59,7 +59,7 @@ def test_matrix_and_loss_csv_text(spark, scratch):
     after = spark.createDataFrame([("code", 1.5)], "domain string, loss double")
     p2 = os.path.join(scratch, "losses")
     SK.write_domain_losses(R.before_after(before, after, "domain", "loss"), p2)
-    r = MC.read_metric_csv(spark, p2).drop("file").first().asDict()
+    r = MC.read_metric_csv(spark, p2).drop("file", "row_idx").first().asDict()
     assert r == {"domain": "code", "before": "2", "after": "1.5", "change": "-0.5"}
 
 
@@ -128,6 +128,24 @@ def test_streaming_tumbling_mean_equals_batch(spark, scratch):
     assert got == want and len(want) == 3
 
 
+def test_two_logs_stay_two_charts(spark, scratch):
+    """Equal file names in two folders, a quoted header, rows indexed in file order."""
+    texts = {"a": 'step,"loss, smooth",phase\n1,0.5,train\n2,0.4,train\n', "b": 'step,"loss, smooth",phase\n1,9.0,train\n,8.0,train\n,7.0,train\n'}
+    for name, text in texts.items():
+        os.makedirs(os.path.join(scratch, name))
+        with open(os.path.join(scratch, name, "log.csv"), "w") as f:
+            f.write(text)
+    logs = MC.read_metric_logs(spark, os.path.join(scratch, "*", "log.csv"))
+    assert sorted(r["row_idx"] for r in logs.collect()) == [0, 0, 1, 1, 2]
+    points = MT.series_points(logs, ["loss, smooth"])
+    got = {r["file"].split("/")[-2]: (r["n_points"], r["max_x"], r["first_y"]) for r in MT.series_summary(points).collect()}
+    assert got == {"a": (2, 2.0, 0.5), "b": (3, 2.0, 8.0)}
+    ranges = MT.axis_range(points)
+    assert ranges.count() == 2 and MT.plot_points(points, ranges).count() == 5 and MT.axis_ticks(ranges).count() == 10
+    assert [r["file"].split("/")[-2] for r in MT.sorted_points(points).collect()] == ["a", "a", "b", "b", "b"]
+    assert MT.candidate_metric_columns(logs) == ["loss, smooth"]
+
+
 def test_windows_belong_to_a_phase_and_domain(spark):
     """One line of another phase at step 10 neither fills nor breaks the train window."""
     rows = [("train", "", str(s), "1.0") for s in range(1, 11)] + [("val", "", "10", "9.0")]
