@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,16 +41,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def rows_of(batches: Iterator, step: int = 256) -> Iterator[tuple]:
-    """Rows of Arrow batches as Python tuples, turned into objects ``step`` at a time."""
-    for batch in batches:
-        for lo in range(0, batch.num_rows, step):
-            yield from zip(*(c.to_pylist() for c in batch.slice(lo, step).columns), strict=True)
-
+def text_slices(batches: Iterator, column: int, most: int = 4_000_000, keep: str | None = None) -> Iterator:
+    """The Arrow batches cut into runs of rows whose ``column`` holds ``most`` bytes at most, or into single rows.
 
-def text_slices(batches: Iterator, column: int, most: int = 4_000_000) -> Iterator:
-    """The Arrow batches cut into runs of rows whose ``column`` holds ``most`` bytes at most, or into single rows."""
+    A Python worker serves one operator after another, so what others than ``keep`` left in its
+    cache, and memory that Arrow holds back, is given up first.
+    """
+    store = sys.modules.get("_ferrule_llm_worker")
+    for name in [n for n in (store.__dict__ if store else ()) if not n.startswith("__") and n != keep]:
+        del store.__dict__[name]
     for batch in batches:
+        pa.default_memory_pool().release_unused()
         size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         total = np.cumsum(size)
         lo = 0

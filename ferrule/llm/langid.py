@@ -122,10 +122,10 @@ class Model:
                 owner.append(i)
         out = np.zeros((len(coded), len(self.langs)), dtype=np.int64)
         order = sorted(range(len(pieces)), key=lambda p: -len(pieces[p]))
-        for at in range(0, len(order), 8192):
-            part = order[at:at + 8192]
+        for at in range(0, len(order), 4096):
+            part = order[at:at + 4096]
             sizes = np.array([len(pieces[p]) for p in part])
-            codes = np.full((len(part), int(sizes[0])), self.pad, dtype=np.int64)
+            codes = np.full((len(part), int(sizes[0])), self.pad, dtype=self.codes.dtype)
             for row, p in enumerate(part):
                 codes[row, :sizes[row]] = pieces[p]
             codes = np.ascontiguousarray(codes.T)
