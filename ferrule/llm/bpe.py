@@ -25,9 +25,10 @@ from ferrule.llm.common import text_slices, worker_cache
 
 #: Fixed value: the word pattern of this vocabulary family.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: The classes of that pattern over the first 256 code points, for the standard (faster) matcher.
+#: The classes of that pattern over the first 256 code points, for the standard (faster) matcher. Letters come first:
+#: only the quoted endings and the run of other characters can start alike.
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾", "\\t-\\r \u0085 "
-PATTERN_LATIN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
+PATTERN_LATIN = rf" ?[{_L}]+|'(?:s|t|re|ve|m|ll|d)| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
 SHORT_WORD = 256
 NONE = np.int32(2**31 - 1)
 
@@ -39,6 +40,21 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def hash_tables(keys: np.ndarray) -> list[tuple]:
+    """Lookup of a key's number: tables of single slots, each for the keys that found theirs taken in the one before."""
+    tables, rest, factor = [], np.arange(len(keys)), 0x9E3779B97F4A7C15
+    while len(rest):
+        bits = len(rest).bit_length() + 3
+        shift = np.uint64(64 - bits)
+        slot, first = np.unique(keys[rest].view(np.uint64) * np.uint64(factor) >> shift, return_index=True)
+        held, number = np.full(1 << bits, -1, dtype=np.int64), np.zeros(1 << bits, dtype=np.int32)
+        held[slot], number[slot] = keys[rest[first]], rest[first]
+        tables.append((np.uint64(factor), shift, held, number))
+        rest = np.delete(rest, first)
+        factor = factor * 0xD1342543DE82EF95 % 2**64 | 1
+    return tables
+
+
 class Vocabulary:
     """Ids, merges and word rule of a BPE file (``tokenizers`` JSON) over the byte alphabet."""
 
@@ -56,8 +72,7 @@ class Vocabulary:
         named = {i: t for t, i in ids.items()}
         self.merged = np.array([ids[named[a].removesuffix(end) + named[b]] if end else ids[named[a] + named[b]] for a, b in self.pairs], dtype=np.int64)
         keys = np.array([a << 32 | b for a, b in self.pairs], dtype=np.int64)
-        order = np.argsort(keys)
-        self.pair_keys, self.pair_ranks = keys[order], order.astype(np.int32)
+        self.tables = hash_tables(keys)
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
         self.bytes_of = {i: bytes(stand_in[c] for c in t.removesuffix(end)) for t, i in ids.items() if t not in self.special}
         self.bytes_of |= {i: t.encode() for t, i in self.special.items()}
@@ -75,8 +90,12 @@ class Vocabulary:
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Merge ranks of pairs of part ids (``NONE``: no such merge)."""
         key = left << 32 | right
-        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], NONE)
+        out = np.full(key.shape, NONE)
+        for factor, shift, keys, ranks in self.tables:
+            slot = key.view(np.uint64) * factor >> shift
+            hit = keys[slot] == key
+            out[hit] = ranks[slot[hit]]
+        return out
 
     def parts(self, raw: np.ndarray) -> np.ndarray:
         """First part ids of words, given as rows of bytes: one part a byte."""
@@ -151,19 +170,18 @@ class WordIds(dict):
         """The ids of ``words``; those that aren't held yet are merged, all words of one byte length at a time."""
         if len(self) > self.most:
             self.clear()
-        by_size: dict[int, tuple[list[str], list[bytes]]] = {}
-        for word in words - self.keys():
-            raw = word.encode()
-            if len(raw) <= SHORT_WORD:
-                names, raws = by_size.setdefault(len(raw), ([], []))
-                names.append(word)
-                raws.append(raw)
-            else:
-                self[word] = self.vocabulary.merge_long(raw)
-        for names, raws in by_size.values():
-            for lo in range(0, len(raws), 20_000):
-                self.update(zip(names[lo:lo + 20_000], self.vocabulary.merge_short(raws[lo:lo + 20_000]), strict=True))
-        return {word: self[word] for word in words}     # smaller than the cache, so the many lookups stay near
+        out = {word: self.get(word) for word in words}      # smaller than the cache, so the many lookups stay near
+        new = [word for word, ids in out.items() if ids is None]
+        by_size: dict[int, list[str]] = {}
+        for word in new:
+            by_size.setdefault(len(word.encode()), []).append(word)
+        for size, names in by_size.items():
+            for lo in range(0, len(names), 20_000):
+                part = names[lo:lo + 20_000]
+                raws = [word.encode() for word in part]
+                out.update(zip(part, self.vocabulary.merge_short(raws) if size <= SHORT_WORD else map(self.vocabulary.merge_long, raws), strict=True))
+        self.update((word, out[word]) for word in new)
+        return out
 
 
 def encode_texts(texts: list[str | None], vocabulary: Vocabulary, cache: WordIds) -> list[bytes]:
@@ -202,7 +220,7 @@ def _run(docs: DataFrame, vocab_path: str, in_cols: list[str], schema: str, fill
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spec = shared.value
         vocabulary, cache = worker_cache(("bpe", hash(spec)), lambda: _tools(spec))
-        for part in text_slices(batches, 1):
+        for part in text_slices(batches, 1, keep="bpe"):
             yield pa.RecordBatch.from_pydict(fill(part, vocabulary, cache))
 
     return docs.select(*in_cols).mapInArrow(work, schema)

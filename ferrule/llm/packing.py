@@ -28,7 +28,8 @@ from ferrule.llm.bpe import _L, _N, _S, Vocabulary, WordIds
 from ferrule.llm.common import text_slices, worker_cache
 
 #: Words of this tokenizer over lower-cased text of the first 256 code points (white space is dropped).
-WORDS_LATIN = rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+"
+#: No two of these start alike but the quoted endings and the last, so letters may come first.
+WORDS_LATIN = rf"[{_L}]+|'(?:s|t|re|ve|m|ll|d)|[{_N}]|[^{_S}{_L}{_N}]+"
 
 
 class LowerWords:
@@ -170,7 +171,7 @@ def pack(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str =
             return pa.RecordBatch.from_arrays([pa.array(columns[0], key_type), *(pa.array(c, pa.int64()) for c in columns[1:3]),
                                                *(pa.array(c, pa.int64()) for c in columns[3:6]), pa.array(columns[6], pa.binary())], names)
 
-        for part in text_slices(batches, 1):
+        for part in text_slices(batches, 1, keep="pack"):
             key_type = part.column(0).type
             rows = []
             for k, ids in zip(part.column(0).to_pylist(), words.encode(part.column(1).to_pylist()), strict=True):
