@@ -73,20 +73,20 @@ def worker_cache(key, build):
     return held[1]
 
 
-def hash_sample(df: DataFrame, by: str, key: str, per_class: int, max_classes: int = 64) -> tuple[DataFrame, list]:
+def hash_sample(df: DataFrame, by: str, key: str, per_class: int) -> tuple[DataFrame, list]:
     """Rows of ``df`` for learning: about ``per_class`` of each value of ``by``, or all if there are fewer.
 
     A row is drawn when a hash of its key falls below the class's share, so the draw needs one count
-    by class and no sort, and is the same in every run. Only the ``max_classes`` most frequent classes
-    are drawn from; they are returned too, in order. Rows with a null class or key are left out.
+    by class and no sort, and is the same in every run. Every class is drawn from, however many there
+    are; they are returned too, in order. Rows with a null class or key are left out.
     """
     known = df.where(F.col(by).isNotNull() & F.col(key).isNotNull())
-    counts = known.groupBy(by).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), by).limit(max_classes).collect()
+    counts = known.groupBy(by).agg(F.count(F.lit(1)).alias("n")).collect()
     u = F.xxhash64(F.lit("sample"), F.col(key)).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
-    drawn = F.lit(False)
-    for row in counts:
-        drawn = drawn | ((F.col(by) == F.lit(row[by])) & (u < F.lit(per_class / row["n"])))
-    return known.where(drawn), sorted(row[by] for row in counts)
+    if not counts:
+        return known.limit(0), []
+    shares = F.create_map(*[F.lit(x) for row in counts for x in (row[by], per_class / row["n"])])    # one literal: its depth doesn't grow with the classes
+    return known.where(u < shares[F.col(by)]), sorted(row[by] for row in counts)
 
 
 ship_by_value(__name__)

@@ -26,6 +26,8 @@ from ferrule.functions.udf_support import ship_by_value
 from ferrule.llm.common import hash_sample, text_slices
 
 PIECE = 1024
+#: Pieces that a long labelled document gives.
+SPREAD = 4
 UNKNOWN = "und"
 
 
@@ -67,9 +69,12 @@ def suffix_automaton(text: str) -> list[dict[str, int]]:
 class Model:
     """Languages with their labelled text, as one table for all automata.
 
-    ``table[state * width + code]`` is ``next_state * width * 4 + phrases ended (0 to 2)``; the
-    first state of language l is ``roots[l]``. Code 0 is the space, ``other`` any letter that no
-    labelled text holds, and the last code pads pieces and changes nothing.
+    A state is a row of cells, one for each letter of its own language's text, so a language's
+    size doesn't depend on the others. ``table[state + column]`` is ``next_state * 4 + phrases
+    ended (0 to 2)``; the first state of language l is ``roots[l]``, and ``columns[code, l]`` is
+    the column of a code there. Code 0 is the space, ``other`` any letter that no labelled text
+    holds, and the last code pads pieces and changes nothing. A language's last two columns are
+    letters that its text doesn't hold, and the pad.
     """
 
     def __init__(self, texts: dict[str, str]):
@@ -77,28 +82,30 @@ class Model:
         alphabet = sorted(set("".join(texts[lang] for lang in self.langs)) - {" "})
         code = {c: i for i, c in enumerate([" ", *alphabet])}
         self.other, self.pad = len(code), len(code) + 1
-        self.width = len(code) + 2
+        self.columns = np.zeros((len(code) + 2, len(self.langs)), dtype=np.int64)
         tables, roots, first = [], [], 0
-        for lang in self.langs:
+        for at, lang in enumerate(self.langs):
             moves = suffix_automaton(texts[lang])
             root = moves[0]
-            to = np.full((len(moves), self.width), -1, dtype=np.int64)
+            own = {c: i for i, c in enumerate([" ", *sorted(set(texts[lang]) - {" "})])}
+            width = len(own) + 2
+            self.columns[:, at] = [*(own.get(c, width - 2) for c in code), width - 2, width - 1]
+            to = np.full((len(moves), width), -1, dtype=np.int64)
             for state, out in enumerate(moves):
                 for c, target in out.items():
-                    to[state, code[c]] = target
-            fresh = np.array([root.get(c, 0) for c in code] + [0, 0])       # where a new phrase goes on from the start
-            ended = np.where(np.array([c in root for c in code] + [False, False]), 1, 2)
-            cell = np.where(to >= 0, (to + first) * self.width * 4, (fresh + first) * self.width * 4 + ended)
-            cell[0] = np.where(to[0] >= 0, cell[0], first * self.width * 4 + 1)     # at the start no phrase is open
-            cell[:, self.pad] = (np.arange(len(moves)) + first) * self.width * 4
-            tables.append(cell)
-            roots.append(first * self.width)
-            first += len(moves)
-        kind = np.int32 if first * self.width * 4 < 2**31 else np.int64
-        self.table = np.concatenate(tables).astype(kind).ravel() if tables else np.zeros(0, kind)
+                    to[state, own[c]] = target
+            fresh = np.array([root.get(c, 0) for c in own] + [0, 0])        # where a new phrase goes on from the start
+            ended = np.where(np.array([c in root for c in own] + [False, False]), 1, 2)
+            cell = np.where(to >= 0, (to * width + first) * 4, (fresh * width + first) * 4 + ended)
+            cell[0] = np.where(to[0] >= 0, cell[0], first * 4 + 1)          # at the start no phrase is open
+            cell[:, -1] = (np.arange(len(moves)) * width + first) * 4
+            tables.append(cell.ravel().astype(np.int32 if (first + cell.size) * 4 < 2**31 else np.int64))
+            roots.append(first)
+            first += cell.size
+        self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
         self.roots = np.array(roots, dtype=np.int64)
         self.bits = np.array([max(1.0, math.log2(len(texts[lang]))) for lang in self.langs])
-        self.codes = np.zeros(0x110000, dtype=np.uint8 if self.width < 256 else np.uint16)
+        self.codes = np.zeros(0x110000, dtype=np.uint8 if self.pad < 256 else np.uint16 if self.pad < 65536 else np.uint32)
         for point in range(0x110000):
             c = chr(point)
             if c.isalpha():
@@ -133,7 +140,7 @@ class Model:
             count = np.zeros(state.shape, dtype=np.int64)
             for step in range(len(codes)):
                 live = int(np.searchsorted(-sizes, -step, side="left"))     # pieces longer than step
-                cell = self.table[state[:live] + codes[step, :live, None]]
+                cell = self.table[state[:live] + self.columns[codes[step, :live]]]
                 count[:live] += cell & 3
                 state[:live] = cell >> 2
             count += state != self.roots
@@ -160,27 +167,34 @@ class Model:
 
 
 def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang",
-          total_chars: int = 160_000, per_class: int = 80) -> Model:
+          lang_chars: int = 40_000, per_class: int = 80) -> Model:
     """Automata of about ``per_class`` documents of each language in ``docs`` (pass the rows to learn from).
 
-    The labelled text is bounded: ``total_chars`` letters for all languages together, an equal part
-    for each, of which one document gives at most a sixteenth. Rows with a null or empty text or
-    language aren't used.
+    Every labelled language has a model. Its labelled text is bounded by ``lang_chars`` letters, alike
+    for any number of languages, of which one document gives at most a sixteenth: the whole of a short
+    text, else ``SPREAD`` pieces, each at a hashed place within its own equal part of the text. Rows
+    with a null or empty text or language aren't used.
     """
-    rows, langs = hash_sample(docs.where(F.length(text) > 0).select(key, text, lang), lang, key, per_class)
-    budget = total_chars // max(1, len(langs))
-    reach = max(1, budget // 16)
-    parts = rows.select(F.col(lang).alias("l"), F.xxhash64(key).alias("h"), F.substring(text, 1, reach + reach // 2).alias("t")).collect()
+    rows, _ = hash_sample(docs.where(F.length(text) > 0).select(key, text, lang), lang, key, per_class)
+    share = max(1, lang_chars // 16 // SPREAD)
+    reach = share + share // 2
+    part = F.length(text) / F.lit(SPREAD)
+    u = [F.pmod(F.xxhash64(F.lit("piece"), F.lit(i), F.col(key)), F.lit(1 << 20)) / F.lit(float(1 << 20)) for i in range(SPREAD)]
+    spread = F.array(*[F.substring(text, (F.lit(1) + i * part + u[i] * (part - reach)).cast("int"), F.lit(reach)) for i in range(SPREAD)])
+    pieces = F.when(F.length(text) <= SPREAD * reach, F.array(F.col(text))).otherwise(spread)
+    parts = rows.select(F.col(lang).alias("l"), F.xxhash64(key).alias("h"), pieces.alias("t")).collect()
     texts: dict[str, str] = {}
     for row in sorted(parts, key=lambda r: (r["l"], r["h"], r["t"])):
         held = texts.get(row["l"], "")
-        texts[row["l"]] = (held + " " + letters(row["t"])[:reach])[:budget].lstrip() if len(held) < budget else held
+        most = share * SPREAD // len(row["t"])
+        drawn = " ".join(x for x in (letters(t)[:most].strip() for t in row["t"]) if x)
+        texts[row["l"]] = (held + " " + drawn)[:lang_chars].strip() if len(held) < lang_chars else held
     return Model(texts)
 
 
 def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, lang_pred, score`` of every row; see ``Model.predict``. Other columns aren't read."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)    # bounded by learn()'s total_chars
+    shared = docs.sparkSession.sparkContext.broadcast(model)    # bounded by learn()'s lang_chars for each language
     kind = docs.schema[key].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -95,6 +95,23 @@ def test_language_held_out(spark):
     assert np.mean([r["lang_pred"] == truth[r["doc_id"]] for r in out]) >= 0.97
 
 
+def test_every_language_is_learned_from_all_of_its_text(spark, make_docs):
+    rng = random.Random(5)
+    langs = {f"l{n:02}": ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(25)] for n in range(70)}
+    rows = [(doc_id, " ".join(rng.choices(words, k=40)), lang) for doc_id, (lang, words) in enumerate((x for x in langs.items() for _ in range(3)))]
+    rows = [r for r in rows if r[2] < "l68" or r[0] % 3]        # the last languages are the rarest
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.langs == sorted(langs)
+    assert [p[0] for p in model.predict([" ".join(words) for words in langs.values()])] == list(langs)
+
+    def made(letters, n):
+        return "".join("".join(rng.choices(letters, k=5)) + " " for _ in range(n // 6))
+
+    rows = [(i, made("xyz", 15_000) + made(own, 15_000), lang) for i, (lang, own) in enumerate([("a", "abcde"), ("f", "fghij")])]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert [p[0] for p in model.predict([made("abcde", 60), made("fghij", 60)])] == ["a", "f"]
+
+
 # -- quality -----------------------------------------------------------------
 
 def test_pairwise_part_equals_the_double_sum():
