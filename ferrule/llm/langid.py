@@ -120,6 +120,11 @@ class Model:
         codes = codes[keep]
         return codes[:-1] if len(codes) and codes[-1] == 0 else codes
 
+    def holds(self, text: str) -> bool:
+        """Whether a labelled text holds a letter of ``text``."""
+        codes = self.encode(text)
+        return bool(((codes != 0) & (codes != self.other)).any())
+
     def phrases(self, coded: list[np.ndarray]) -> np.ndarray:
         """Phrases of each coded text under each language."""
         pieces, owner = [], []
@@ -205,15 +210,25 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
     return docs.select(key, text).mapInArrow(work, f"k {kind}, lang_pred string, score double").withColumnRenamed("k", key)
 
 
-def keep_identified(docs: DataFrame, model: Model, text: str = "text", least: float = 0.505, allowed: list[str] | None = None) -> DataFrame:
-    """The rows, with all columns, whose language is known (not ``und``), in ``allowed`` (default: any) and scored ``least`` or more."""
+def keep_identified(docs: DataFrame, model: Model, text: str = "text", least: float = 0.0, allowed: list[str] | None = None) -> DataFrame:
+    """The rows, with all columns, that hold a letter of the labelled texts and whose language is in ``allowed`` (default: any).
+
+    A tie between languages is kept, as a short clean text is often one phrase in two of them; ``least``
+    asks for a higher score. A model without languages can't judge: every row stays, and ``allowed`` is an error.
+    """
+    if not model.langs:
+        if allowed is not None:
+            raise ValueError("no labelled language was learned, so none can be asked for")
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, at):
-            found = shared.value.predict(part.column(at).to_pylist())
-            yield part.filter(pa.array([lang != UNKNOWN and score >= least and (allowed is None or lang in allowed) for lang, score in found]))
+            texts = part.column(at).to_pylist()
+            found = shared.value.predict(texts)
+            yield part.filter(pa.array([lang != UNKNOWN and score >= least and (allowed is None or lang in allowed) and shared.value.holds(t)
+                                        for t, (lang, score) in zip(texts, found, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(work, docs.schema)
 

@@ -112,6 +112,18 @@ def test_every_language_is_learned_from_all_of_its_text(spark, make_docs):
     assert [p[0] for p in model.predict([made("abcde", 60), made("fghij", 60)])] == ["a", "f"]
 
 
+def test_ties_are_kept_and_no_model_rejects_nothing(make_docs, edge_texts):
+    model = langid.Model({"en": "this is a text", "de": "das ist a text"})
+    docs = make_docs(["a", "text", "中文", "12 !", None, "", "this"])
+    assert model.predict(["a"])[0][1] == 0.5
+    assert sorted(r["text"] for r in langid.keep_identified(docs, model).collect()) == ["a", "text", "this"]
+    assert langid.keep_identified(docs, model, least=0.505).where("text = 'a'").count() == 0
+    none = langid.learn(make_docs(edge_texts, lang=None))
+    assert langid.keep_identified(make_docs(edge_texts), none).count() == len(edge_texts)
+    with pytest.raises(ValueError):
+        langid.keep_identified(docs, none, allowed=["en"])
+
+
 # -- quality -----------------------------------------------------------------
 
 def test_pairwise_part_equals_the_double_sum():
