@@ -38,14 +38,12 @@ STAND_IN = re.compile(r"(?i)^(?:changeme|change_me|example.*|placeholder|your[-_
 LEAST_SCORE = 1.0
 
 OPERATOR = re.compile(r"(?<![=!<>:])(?::=|=>|=|:)(?![=:/])")
-NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.\-]*$")
+NAME_CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.-"
 GAP = re.compile(r"[ \t]*")
 QUOTED = re.compile(r'"((?:[^"\\\n]|\\.)*)"|\'((?:[^\'\\\n]|\\.)*)\'|`([^`\n]*)`')
 BARE = re.compile(r"[^\s,;'\"`(){}\[\]<>+&|]+")
 PLUS = re.compile(r"[ \t]*\+[ \t]*")
 PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
-#: Longest name that is read before an operator.
-NAME_REACH = 128
 
 
 def name_weight(name: str) -> float:
@@ -64,9 +62,32 @@ def literal_weight(value: str) -> float:
     return 0.2 * (len(value) >= 8) + 0.2 * (kinds >= 2) + 0.2 * (entropy >= 3.0) - 0.6 * plain
 
 
-def _terms(text: str, at: int, known: dict[str, list[tuple[int, int]]]) -> list[tuple[int, int]]:
-    """Spans of the literals that make up the value at ``at``: quoted, bare, named constants, joined by +."""
+class Value:
+    """What a name stands for: spans of its own literals, and the values of the constants that it is made of."""
+
+    __slots__ = ("spans", "parts", "scored")
+
+    def __init__(self, spans: list[tuple[int, int]], parts: list[Value]):
+        self.spans, self.parts, self.scored = spans, parts, 0.0
+
+    def sensitive(self, text: str, weight: float) -> Iterator[tuple[int, int]]:
+        """Spans that reach the least score under a name of ``weight``, those given out for this weight or more left out.
+
+        So each value is read once for each weight of a name, however long the chains of constants are.
+        """
+        waiting = [self]
+        while waiting:
+            value = waiting.pop()
+            if value.scored < weight:
+                value.scored = weight
+                yield from ((a, b) for a, b in value.spans if weight + literal_weight(text[a:b]) >= LEAST_SCORE)
+                waiting += value.parts
+
+
+def _terms(text: str, at: int, known: dict[str, Value]) -> Value | None:
+    """The value at ``at``: literals quoted or bare, and named constants, joined by +; none if there is nothing."""
     spans: list[tuple[int, int]] = []
+    parts: dict[int, Value] = {}
     while True:
         at = GAP.match(text, at).end()
         if m := QUOTED.match(text, at):
@@ -77,31 +98,35 @@ def _terms(text: str, at: int, known: dict[str, list[tuple[int, int]]]) -> list[
                 m = n
                 spans.append(n.span())
             elif word in known:
-                spans += known[word]
+                parts[id(known[word])] = known[word]
             else:
                 spans.append((m.start(), m.start() + len(word)))
-        else:
-            return spans
-        if not (p := PLUS.match(text, m.end())):
-            return spans
+        if not m or not (p := PLUS.match(text, m.end())):
+            spans = [s for s in spans if s[0] < s[1]]
+            return Value(spans, list(parts.values())) if spans or parts else None
         at = p.end()
 
 
+def _name(left: str) -> str:
+    """The name, bare or quoted, that ends a text, or the empty text."""
+    left = left.rstrip(" \t")
+    left = left[:-1] if left[-1:] in ("'", '"', "`") else left
+    return left[len(left.rstrip(NAME_CHARS)):].lstrip("0123456789.-")
+
+
 def lexed(text: str) -> list[tuple[int, int]]:
     """Spans of literals that reach a sensitive name, in order, each once."""
-    known: dict[str, list[tuple[int, int]]] = {}
-    found = set()
+    known: dict[str, Value] = {}
+    found: set[tuple[int, int]] = set()
+    last = 0                            # a name holds no operator, so it stands after the last one
     for op in OPERATOR.finditer(text):
-        left = text[max(0, op.start() - NAME_REACH - 4):op.start()].rstrip(" \t")
-        left = left[:-1] if left[-1:] in ("'", '"', "`") else left
-        if not (name := NAME.search(left)):
-            continue
-        spans = [s for s in _terms(text, op.end(), known) if s[0] < s[1]]
-        if not spans:
+        name = _name(text[last:op.start()])
+        last = op.end()
+        if not name or not (value := _terms(text, op.end(), known)):
             continue
-        known[name[0]] = known[name[0].rpartition(".")[2]] = spans[:8]
-        if weight := name_weight(name[0]):
-            found.update((a, b) for a, b in spans if weight + literal_weight(text[a:b]) >= LEAST_SCORE)
+        known[name] = known[name.rpartition(".")[2]] = value
+        if weight := name_weight(name):
+            found.update(value.sensitive(text, weight))
     return sorted(found)
 
 

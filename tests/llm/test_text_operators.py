@@ -261,6 +261,23 @@ def test_secret_lexing():
     assert secret_scan.redact("pwd = 'x8Fk2mQ9zL'; n = 1", secret_scan.scan("pwd = 'x8Fk2mQ9zL'; n = 1"), "<S>") == "pwd = '<S>'; n = 1"
 
 
+def test_secret_constants_and_names_of_any_length():
+    def values(text):
+        return [text[a:b] for a, b in secret_scan.lexed(text)]
+
+    parts = [f"Part{i:02}xQ9z" for i in range(40)]
+    listed = " + ".join(f'"{p}"' for p in parts)
+    assert values(f"k = {listed}\napi_key = k") == parts
+    assert values("\n".join(f'k{i} = "{p}"' for i, p in enumerate(parts)) + "\nall = " + " + ".join(f"k{i}" for i in range(40)) + "\napi_key = all") == parts
+    assert values('k = "Part01xQ9z"\n' + "k = k + k\n" * 200 + "password = k") == ["Part01xQ9z"]
+    chain = 'k0 = "Part00xQ9z"\n' + "".join(f'k{i} = k{i - 1} + "Part{i}xQ9z"\npassword = k{i}\n' for i in range(1, 3000))
+    assert len(values(chain)) == 3000
+    long = "a." * 100 + "b"
+    assert values(f'{long} = "x8Fk2mQ9zL"\npassword = {long}') == ["x8Fk2mQ9zL"]
+    assert values(f'password.{long} = "x8Fk2mQ9zL"') == ["x8Fk2mQ9zL"]
+    assert values("password" + " " * 500 + '= "x8Fk2mQ9zL"') == ["x8Fk2mQ9zL"]
+
+
 def test_secret_operators_edges(make_docs, edge_texts, spark):
     docs = make_docs(edge_texts)
     rows = secret_scan.find_secrets(docs).collect()
