@@ -37,11 +37,19 @@ SENSITIVE = {("password",): 1.0, ("passwd",): 1.0, ("pwd",): 0.9, ("passphrase",
 STAND_IN = re.compile(r"(?i)^(?:changeme|change_me|example.*|placeholder|your[-_ ].*|todo|none|null|true|false|xxx+|\*+|<.*>|\$\{.*\}|\{\{.*\}\}|%\(.*\)s)$")
 LEAST_SCORE = 1.0
 
-OPERATOR = re.compile(r"(?<![=!<>:])(?::=|=>|=|:)(?![=:/])")
+#: A "/" after ":" is a URL's; after "=" it begins a value.
+OPERATOR = re.compile(r"(?<![=!<>:])(?:(?::=|=>|=)(?![=:])|:(?![=:/]))")
 NAME_CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.-"
 GAP = re.compile(r"[ \t]*")
 QUOTED = re.compile(r'"((?:[^"\\\n]|\\.)*)"|\'((?:[^\'\\\n]|\\.)*)\'|`([^`\n]*)`')
 BARE = re.compile(r"[^\s,;'\"`(){}\[\]<>+&|]+")
+#: What stands between ":" and "=" in a declaration, brackets left out: a type, which may be borrowed, optional or a union.
+TYPE = re.compile(r"""[ \t]*(?:[&*][ \t]*)*+(?:'[a-z_]+[ \t]+)?(?:(?:mut|const|dyn|readonly|unsigned)[ \t]+)?
+                      (?:[A-Za-z_][A-Za-z0-9_.]*(?:::[A-Za-z0-9_.]+)*[ \t]*)?[?*&]*[ \t]*
+                      (?:\|[ \t]*[A-Za-z_][A-Za-z0-9_.]*(?:::[A-Za-z0-9_.]+)*[ \t]*)*""", re.VERBOSE)
+#: A quoted type, as in a forward reference.
+QUOTED_TYPE = re.compile(r"""[ \t]*(["'])[A-Za-z_][A-Za-z0-9_.,<>\[\]| \t]*\1[ \t]*""")
+SUBSCRIPT = re.compile(r"""\[[ \t]*(?:"([^"\n]*)"|'([^'\n]*)'|`([^`\n]*)`|([A-Za-z0-9_.\-]*))[ \t]*\]""")
 PLUS = re.compile(r"[ \t]*\+[ \t]*")
 PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
@@ -94,13 +102,17 @@ def _terms(text: str, at: int, known: dict[str, Value]) -> Value | None:
             spans.append((m.start() + 1, m.end() - 1))
         elif m := BARE.match(text, at):
             word = m[0].rstrip(".")
+            start, keys = m.start(), [word]
+            while n := SUBSCRIPT.match(text, m.end()):      # config["key"] is one term, its key a part of the name
+                keys.append(n[n.lastindex])
+                m = n
             if word in ("Bearer", "Basic") and (n := BARE.match(text, GAP.match(text, m.end()).end())):
                 m = n
                 spans.append(n.span())
-            elif word in known:
-                parts[id(known[word])] = known[word]
+            elif v := known.get(".".join(keys)) or known.get(word):
+                parts[id(v)] = v
             else:
-                spans.append((m.start(), m.start() + len(word)))
+                spans.append((start, start + len(word)))
         if not m or not (p := PLUS.match(text, m.end())):
             spans = [s for s in spans if s[0] < s[1]]
             return Value(spans, list(parts.values())) if spans or parts else None
@@ -114,18 +126,96 @@ def _name(left: str) -> str:
     return left[len(left.rstrip(NAME_CHARS)):].lstrip("0123456789.-")
 
 
+def _keys(text: str, end: int) -> tuple[int, list[str]]:
+    """Where the subscripts that end at ``end`` begin, and their keys in order; ``end`` and none if there are none."""
+    keys: list[str] = []
+    at = end
+    while True:
+        lo = at
+        while lo and text[lo - 1] in " \t":
+            lo -= 1
+        if not lo or text[lo - 1] != "]":
+            break
+        lo -= 1
+        while lo and text[lo - 1] in " \t":
+            lo -= 1
+        hi = lo
+        if lo and text[lo - 1] in "\"'`":
+            hi -= 1
+            lo = text.rfind(text[hi], 0, hi)
+            key, quoted = text[lo + 1:hi], True
+            if lo < 0 or "\n" in key:
+                break
+        else:
+            while lo and text[lo - 1] in NAME_CHARS:
+                lo -= 1
+            key, quoted = text[lo:hi], False
+        while lo and text[lo - 1] in " \t":
+            lo -= 1
+        if not lo or text[lo - 1] != "[":
+            break
+        at = lo - 1
+        keys.append(key)
+    return at, keys[::-1]
+
+
+def _is_type(between: str) -> bool:
+    """Whether this is a type, its brackets of any depth closed."""
+    depth, outside = 0, []
+    for c in between:
+        depth += (c in "[<") - (c in "]>")
+        if depth < 0 or c == "\n":
+            return False
+        if not depth and c not in "]>":
+            outside.append(c)
+    return depth == 0 and bool(TYPE.fullmatch("".join(outside)) or QUOTED_TYPE.fullmatch(between))
+
+
+def _names(text: str, last: int, end: int) -> tuple[str, list[str]]:
+    """The whole name before an operator at ``end``, and the names that its constant goes by.
+
+    ``last`` is the end of the operator before; a key in quotes may hold operators itself.
+    """
+    begin, keys = _keys(text, end)
+    if not keys:
+        name = _name(text[last:end])
+        return name, [name, name.rpartition(".")[2]]
+    while begin and text[begin - 1] in " \t":
+        begin -= 1
+    lo = begin
+    while lo and text[lo - 1] in NAME_CHARS:
+        lo -= 1
+    base = text[lo:begin].lstrip("0123456789.-")
+    name = ".".join([base, *keys]) if base else ""
+    own = [name] if any(keys) and not all(k.isdigit() or not k for k in keys) else [name, base]
+    return name, own
+
+
 def lexed(text: str) -> list[tuple[int, int]]:
-    """Spans of literals that reach a sensitive name, in order, each once."""
+    """Spans of literals that reach a sensitive name, in order, each once.
+
+    A name may have subscripts (``config["db_password"] = ..``, ``char key[32] = ..``) and a type
+    (``password: str = ..``, ``const TOKEN: &str = ..``); a declared literal goes by the declared name
+    and by what stands before the "=".
+    """
     known: dict[str, Value] = {}
     found: set[tuple[int, int]] = set()
     last = 0                            # a name holds no operator, so it stands after the last one
+    declared: list[str] = []            # the names before the last operator, if that was ":"
     for op in OPERATOR.finditer(text):
-        name = _name(text[last:op.start()])
+        name, own = _names(text, last, op.start())
+        between = text[last:op.start()] if op[0] == "=" and declared else "\n"
+        if _is_type(between):
+            names = [declared[0], *([] if not name or "[" in between else [name])]
+            own = declared + (own if len(names) > 1 else [])
+        else:
+            names = [name] if name else []
+        declared = own if op[0] == ":" and name else []
         last = op.end()
-        if not name or not (value := _terms(text, op.end(), known)):
+        if not names or not (value := _terms(text, op.end(), known)):
             continue
-        known[name] = known[name.rpartition(".")[2]] = value
-        if weight := name_weight(name):
+        known.update((n, value) for n in own if n)
+        if weight := max(map(name_weight, names)):
             found.update(value.sensitive(text, weight))
     return sorted(found)
 

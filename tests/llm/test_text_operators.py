@@ -278,6 +278,25 @@ def test_secret_constants_and_names_of_any_length():
     assert values("password" + " " * 500 + '= "x8Fk2mQ9zL"') == ["x8Fk2mQ9zL"]
 
 
+def test_secret_typed_and_subscripted_names():
+    def values(text):
+        return [text[a:b] for a, b in secret_scan.lexed(text)]
+
+    for left in ("password: str", "let apiKey: string", "const TOKEN: &str", "static SECRET: &'static str", "pwd: Optional[str]", "password: std::string",
+                 "token: str | None", "token: Dict[str, List[Optional[str]]]", "pwd: &[u8]", 'secret: "SecretText"', 'config["db_password"]', "os.environ['API_KEY']", 'os.environ["A=B:password"]',
+                 'cfg [ "x" ] [ "pwd" ]', "char password[32]", "char password[]", 'a["api"]["key"]', "cfg[DB_PASSWORD]", "command: password"):
+        assert values(f'{left} = "x8Fk2mQ9zL"')[-1:] == ["x8Fk2mQ9zL"], left
+    assert values('k: str = "x8Fk2mQ9zL"\npassword = k') == ["x8Fk2mQ9zL"]
+    assert values('c["k"] = "x8Fk2mQ9zL"\npassword = c["k"]') == ["x8Fk2mQ9zL"]
+    assert values('c["k"] = "x8Fk2mQ9zL"\nd["j"] = "y8Fk2mQ9zL"\npassword = d["j"] + c["k"]') == ["x8Fk2mQ9zL", "y8Fk2mQ9zL"]
+    assert values("pwd=/x8Fk2mQ9zL") == ["/x8Fk2mQ9zL"]
+    assert values("secret://x8Fk2mQ9zL") == []
+    assert values('] = "x8Fk2mQ9zL"\n["password"] = "x8Fk2mQ9zL"\npassword\n] = "x8Fk2mQ9zL"') == []
+    assert values('def f(password: str, name="Alice7Cooper")') == values('password: x; name = "Alice7Cooper"') == values('password: see name = "Alice7Cooper"') == []
+    assert values('colour: str = "x8Fk2mQ9zL"\ncfg["colour"] = "x8Fk2mQ9zL"') == []
+    assert values('names: list[str] = "Alice7Cooper"\npassword: str') == []
+
+
 def test_secret_operators_edges(make_docs, edge_texts, spark):
     docs = make_docs(edge_texts)
     rows = secret_scan.find_secrets(docs).collect()
