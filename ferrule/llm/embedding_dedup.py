@@ -12,6 +12,7 @@ one window; what passes give out is a spanning forest of each chunk, not all pai
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,20 @@ BITS = 62
 CHUNK = 256
 BLOCK = 512
 ROWS_A_PARTITION = 20_000
+#: Fewest passes of a table of any size; also how many a batch is hashed for at a time.
+PASSES = 24
+
+
+def passes_for(count: int, least: float, window: int, recall: float) -> int:
+    """Passes after which a pair of cosine ``least`` among ``count`` vectors is found with a chance of ``recall``, ``PASSES`` at least.
+
+    A pass brings the pair within a window with a chance of about (1 - arccos(least) / pi) ** log2(count / window).
+    """
+    same = 1 - math.acos(min(1.0, max(-1.0, least))) / math.pi
+    chance = same ** math.log2(max(1.0, count / window)) if same else 0.0
+    if not 0 < recall < 1 or chance == 0:
+        raise ValueError("recall must be between 0 and 1, and least above -1")
+    return PASSES if chance == 1 else max(PASSES, math.ceil(math.log1p(-recall) / math.log1p(-chance)))
 
 
 def unit(vectors: pa.Array) -> np.ndarray:
@@ -74,12 +89,13 @@ def _keys(reps: DataFrame, passes: int, seed: int) -> DataFrame:
                     dim = x.shape[1]
                     if dim not in planes:
                         planes[dim] = np.random.default_rng((seed, dim)).standard_normal((dim, passes * BITS))
-                    signs = (x @ planes[dim] > 0).reshape(len(x), passes, BITS)
-                    keys = signs.astype(np.int64) @ (np.int64(1) << np.arange(BITS - 1, -1, -1, dtype=np.int64))
-                    for p in range(passes):
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(len(x), p, dtype=np.int32)), pa.array(np.full(len(x), dim, dtype=np.int32)),
-                             pa.array(keys[:, p]), own.column(0), own.column(1)], ["pass", "dim", "key", "id", "v"])
+                    for first in range(0, passes, PASSES):
+                        signs = (x @ planes[dim][:, first * BITS:(first + PASSES) * BITS] > 0).reshape(len(x), -1, BITS)
+                        keys = signs.astype(np.int64) @ (np.int64(1) << np.arange(BITS - 1, -1, -1, dtype=np.int64))
+                        for p in range(keys.shape[1]):
+                            yield pa.RecordBatch.from_arrays(
+                                [pa.array(np.full(len(x), first + p, dtype=np.int32)), pa.array(np.full(len(x), dim, dtype=np.int32)),
+                                 pa.array(keys[:, p]), own.column(0), own.column(1)], ["pass", "dim", "key", "id", "v"])
 
     return reps.select("id", "v").mapInArrow(work, f"pass int, dim int, key long, id long, v {kind}")
 
@@ -213,7 +229,7 @@ def _exact_counts(members: DataFrame, least: float, block: int) -> DataFrame:
 
 
 def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", least: float = 0.9,
-                    passes: int = 24, window: int = 128, seed: int = 42, block: int = BLOCK) -> DataFrame:
+                    passes: int | None = None, window: int = 128, seed: int = 42, block: int = BLOCK, recall: float = 0.99) -> DataFrame:
     """``key, n_links, component_id, kept`` of every row, by cosine >= ``least``.
 
     ``n_links`` counts the other rows that a row links with directly, copies included.
@@ -221,8 +237,8 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     Null, empty and zero vectors, and vectors with null or non-finite components, link with nothing;
     vectors of different length don't link. Rows with a null key take no part and keep a null component
     (``kept`` is then true). Repeated rows count as copies. An empty table gives an empty result.
-    More ``passes`` raise the recall: the chance that a pass brings a pair of cosine c within a
-    window of w among N vectors is about (1 - arccos(c) / pi) ** log2(N / w).
+    The number of passes follows from the counted distinct vectors, so that a pair of cosine ``least`` is
+    found with a chance of ``recall`` in a table of any size (see ``passes_for``); ``passes`` sets it instead.
     """
     number = vectors.schema[vector].dataType.elementType.simpleString()
     kind = "array<float>" if number == "float" else "array<double>"
@@ -232,6 +248,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     classes = materialise(rows.where("v IS NOT NULL").groupBy("v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("m"))
                           .withColumn("id", F.monotonically_increasing_id()), "classes")     # written once: the numbers stay
     reps = classes.select("id", "v", "m")
+    passes = passes_for(classes.count(), least, window, recall) if passes is None else passes
     linked = components(_pass_links(materialise(_keys(reps, passes, seed), "keys"), window, least))
     members = materialise(reps.join(linked, reps["id"] == linked["node"]).select("component", "id", "v", "m"), "members")
     counts = _exact_counts(members, least, block)

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import types as T
@@ -195,3 +196,26 @@ def test_embedding_query(spark):
     want = brute_vectors(rows, 0.9)
     got = QUERIES["op3_sorted_projection_dedup"](spark, "/root/testdata/sf0.01").collect()
     assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == sorted((k, n, c) for (k, _), (n, c) in zip(rows, want.values(), strict=True))
+
+
+def test_passes_follow_the_size_of_the_table(spark, monkeypatch):
+    for count in (0, 1, 128, 2_000, 400_000, 5_700_000, 10**8, 10**11):
+        for window in (8, 128):
+            passes = embedding_dedup.passes_for(count, 0.9, window, 0.99)
+            chance = (1 - np.arccos(0.9) / np.pi) ** np.log2(max(1.0, count / window))
+            assert passes >= 24 and 1 - (1 - chance) ** passes >= 0.99 - 1e-9
+    with pytest.raises(ValueError):
+        embedding_dedup.passes_for(10, 0.9, 128, 1.0)
+
+    used = []
+    keys = embedding_dedup._keys
+    monkeypatch.setattr(embedding_dedup, "_keys", lambda reps, passes, seed: used.append(passes) or keys(reps, passes, seed))
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((1500, 16))
+    near = x + 0.1 * rng.standard_normal(x.shape)
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([x, near]))]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), window=1).collect()
+    y = embedding_dedup.unit(pa.array([v for _, v in rows]))
+    links = (y @ y.T >= 0.9).sum(axis=1) - 1
+    assert used == [embedding_dedup.passes_for(3000, 0.9, 1, 0.99)] and used[0] > 24
+    assert sum(r["n_links"] for r in got) >= 0.99 * links.sum() > 0
