@@ -12,7 +12,7 @@ from ferrule.sources import manifest as MF
 from ferrule.sources import metrics_csv as MC
 from ferrule.streaming import streams as ST
 
-from conftest import SF_SMALL
+from small_data import SF_SMALL
 
 
 def test_metric_log_round_trip(spark, scratch):

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from ferrule.functions import udf as U
 
-from conftest import SF_SMALL
+from small_data import SF_SMALL
 
 
 def test_tokenizer_udf_runs_user_tokenizer(spark):
