@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
-QUERY_MODULES = ("q_text", "q_models", "q_dedup")
+QUERY_MODULES = ("q_text", "q_models", "q_dedup", "q_corpus")
 
 
 def register(name: str, sql: str | None = None):
