@@ -30,14 +30,14 @@ def crc_fold(id_col: str, folds: int):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % folds
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back: the lineage ends there.
 
     Every executor can read the files, so a lost executor costs only its running tasks.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/ferrule-llm/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -61,6 +61,33 @@ def text_slices(batches: Iterator, column: int, most: int = 4_000_000, keep: str
             lo = hi
 
 
+def split_words(texts: pa.Array, table: bytes) -> tuple[pa.Array, np.ndarray]:
+    """All words of a column of texts in one array, in order, and the number of words of each row.
+
+    ``table`` translates every byte; a byte that becomes a blank separates words. Null texts have none.
+    """
+    n = len(texts)
+    data = texts.buffers()[2]
+    wide = pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type)
+    edge = np.frombuffer(texts.buffers()[1], dtype=np.int64 if wide else np.int32)[texts.offset:texts.offset + n + 1] if n else np.zeros(1, np.int32)
+    if data is None or edge[-1] == edge[0]:
+        return pa.array([], pa.binary()), np.zeros(n, dtype=np.int64)
+    edge = edge.astype(np.int64)
+    raw = np.frombuffer(data[int(edge[0]):int(edge[-1])].to_pybytes().translate(table), dtype=np.uint8)
+    edge -= edge[0]
+    ink = raw != 32
+    first = ink.copy()
+    first[1:] &= ~ink[:-1]
+    begin = edge[:-1][edge[:-1] < edge[1:]]     # a text's first byte begins a word, whatever the text before it ends with
+    first[begin] |= ink[begin]
+    start = np.flatnonzero(first)
+    at = (np.cumsum(ink, dtype=np.int32) if len(raw) < 2**31 else np.cumsum(ink))[start] - 1
+    letters = raw[ink]
+    kind, offsets = (pa.large_binary(), np.int64) if len(raw) >= 2**31 else (pa.binary(), np.int32)
+    words = pa.Array.from_buffers(kind, len(start), [None, pa.py_buffer(np.append(at, len(letters)).astype(offsets)), pa.py_buffer(letters)])
+    return words, np.diff(np.searchsorted(start, edge))
+
+
 def worker_cache(key, build):
     """``build()`` once for each Python worker and ``key``; later tasks of the worker reuse it.
 

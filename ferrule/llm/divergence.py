@@ -16,7 +16,6 @@ correction for each term that both have, made from one sorted stream of (term, s
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,13 +26,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ferrule.functions.udf_support import ship_by_value
-from ferrule.llm.common import materialise, text_slices
+from ferrule.llm.common import materialise, split_words, text_slices
 
 #: Terms are runs of A-Z, a-z and all of Unicode beyond ASCII; only A-Z are lower-cased. Every other byte separates.
 TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 SCALE = 1_000_000_000
-#: Different (group, term) entries that a task holds before it hands them on.
-HELD = 300_000
+#: Counts under this times SCALE fit a long.
+NARROW = 9_000_000_000
+#: Bytes of texts that are counted together before a task hands their counts on.
+HELD = 16_000_000
 #: Cells of one block of term-by-source-by-source sums.
 CELLS = 2_000_000
 #: Parts into which the pairs of a language's sources are dealt.
@@ -42,44 +43,36 @@ SALTS = 16
 FIELDS = {"lang": "string", "source": "string", "digest": "long", "term": "string", "tf": "long", "df": "long"}
 
 
-def terms(text: str | None) -> list[bytes]:
-    """The terms of a whole text, in order (UTF-8)."""
-    return (text or "").encode().translate(TERM_BYTES).split()
-
-
 def _scan(docs: DataFrame, columns: tuple[str, ...], digest_bits: int) -> DataFrame:
-    """``columns`` of (lang, source, digest, term, tf, df), summed within a task; without ``lang`` and ``source`` one row a term."""
+    """``columns`` of (lang, source, digest, term, tf, df), summed over some MB of texts; without ``lang`` and ``source`` one row a term."""
     mask = (1 << digest_bits) - 1
     grouped = "lang" in columns
 
-    def batch(held: dict) -> pa.RecordBatch:
-        number = {t: np.uint64(xxhash.xxh64_intdigest(t) & mask) for t in set().union(*(tf for tf, _ in held.values()))}
-        if not grouped:
-            held = {("", ""): (dict.fromkeys(number), dict.fromkeys(number))}
-        size = [len(tf) for tf, _ in held.values()]
-        labels = lambda at: pa.DictionaryArray.from_arrays(
-            pa.array(np.repeat(np.arange(len(size), dtype=np.int32), size)), pa.array([k[at] for k in held], pa.string())).cast(pa.string())
-        flat = [t for tf, _ in held.values() for t in tf]
-        make = {"lang": lambda: labels(0), "source": lambda: labels(1),
-                "digest": lambda: pa.array(np.fromiter((number[t] for t in flat), np.uint64, len(flat)).view(np.int64)),
-                "term": lambda: pa.array(flat, pa.binary()).cast(pa.string()),
-                "tf": lambda: pa.array([n for tf, _ in held.values() for n in tf.values()], pa.int64()),
-                "df": lambda: pa.array([df[t] for tf, df in held.values() for t in tf], pa.int64())}
-        return pa.RecordBatch.from_pydict({c: make[c]() for c in columns})
-
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, tuple[Counter, Counter]] = {}
-        for part in text_slices(batches, 2):
-            for lang, source, text in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
-                words = terms(text)
-                tf, df = held.setdefault((lang, source) if grouped else ("", ""), (Counter(), Counter()))
-                tf.update(words)
-                df.update(set(words))
-            if sum(len(tf) for tf, _ in held.values()) > HELD:
-                yield batch(held)
-                held = {}
-        if held:
-            yield batch(held)
+        for part in text_slices(batches, 2, most=HELD):
+            words, size = split_words(part.column(2), TERM_BYTES)
+            if not len(words):
+                continue
+            coded = words.dictionary_encode()
+            kinds, code = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+            digest = np.fromiter((xxhash.xxh64_intdigest(t) & mask for t in kinds.to_pylist()), np.uint64, len(kinds)).view(np.int64)
+            if not grouped:
+                yield pa.RecordBatch.from_pydict({"digest": pa.array(digest), "term": kinds.cast(pa.string())})
+                continue
+            lang, source = (part.column(i).dictionary_encode() for i in range(2))
+            group = lang.indices.to_numpy().astype(np.int64) * len(source.dictionary) + source.indices.to_numpy()
+            # One row for each (document, term), then one for each (group, term) with its occurrences and its documents.
+            cell, tf = np.unique(np.repeat(np.arange(len(size)), size) * len(kinds) + code, return_counts=True)
+            cell = group[cell // len(kinds)] * len(kinds) + cell % len(kinds)
+            order = np.argsort(cell, kind="stable")
+            cell, tf = cell[order], tf[order]
+            edge = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+            term, group = cell[edge] % len(kinds), cell[edge] // len(kinds)
+            make = {"lang": lambda: lang.dictionary.take(pa.array(group // len(source.dictionary))),  # noqa: B023
+                    "source": lambda: source.dictionary.take(pa.array(group % len(source.dictionary))),  # noqa: B023
+                    "digest": lambda: pa.array(digest[term]), "term": lambda: kinds.take(pa.array(term)).cast(pa.string()),  # noqa: B023
+                    "tf": lambda: pa.array(np.add.reduceat(tf, edge)), "df": lambda: pa.array(np.diff(np.append(edge, len(cell))))}  # noqa: B023
+            yield pa.RecordBatch.from_pydict({c: make[c]() for c in columns})
 
     named = docs.select(*(F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source", "text")))
     return named.mapInArrow(work, ", ".join(f"{c} {FIELDS[c]}" for c in columns))
@@ -91,17 +84,17 @@ def _vocabulary(counts: DataFrame, min_docs: int) -> DataFrame:
     return sums.where(F.col("docs") >= min_docs).drop("docs")
 
 
-def _kept_counts(docs: DataFrame, min_docs: int, digest_bits: int) -> tuple[DataFrame, DataFrame]:
-    """Counts of the kept terms, ``lang, source, digest, apart, c, total``, and the dictionary ``digest, text``.
+def _kept_counts(docs: DataFrame, min_docs: int, digest_bits: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Counts of the kept terms, ``lang, source, digest, apart, c, total``; ``lang, digest, apart, total``; the dictionary ``digest, text``.
 
     ``apart`` is empty, and the term itself where its digest stands for several.
     """
-    spark = docs.sparkSession
     summed = [F.sum("tf").alias("c"), F.sum("df").alias("d")]
     counts = _scan(docs, ("lang", "source", "digest", "tf", "df"), digest_bits).groupBy("lang", "source", "digest").agg(*summed)
     counts = materialise(counts.withColumn("apart", F.lit("")), "term-counts")
     # Terms that share a digest only add to its documents, so the digest of a kept term is always among these.
-    likely = _vocabulary(counts, min_docs).select("digest").distinct()
+    vocabulary = materialise(_vocabulary(counts, min_docs), "vocabulary")
+    likely = vocabulary.select("digest").distinct()
     found = _scan(docs, ("digest", "term"), digest_bits).groupBy("digest").agg(F.min("term").alias("text"), F.max("term").alias("last"))
     found = materialise(found.join(likely, "digest", "left_semi"), "term-dictionary")
     shared = found.where("text <> last").select("digest")
@@ -109,14 +102,17 @@ def _kept_counts(docs: DataFrame, min_docs: int, digest_bits: int) -> tuple[Data
         split = _scan(docs, ("lang", "source", "digest", "term", "tf", "df"), digest_bits).join(shared, "digest", "left_semi")
         split = split.groupBy("lang", "source", "digest", F.col("term").alias("apart")).agg(*summed)
         counts = materialise(counts.join(shared, "digest", "left_anti").unionByName(split), "term-counts-apart")
-    kept = counts.drop("d").join(_vocabulary(counts, min_docs), ["lang", "digest", "apart"])
+        vocabulary = materialise(_vocabulary(counts, min_docs), "vocabulary")
+    kept = counts.drop("d").join(vocabulary, ["lang", "digest", "apart"])
     kept = materialise(kept.select("lang", "source", "digest", "apart", "c", "total"), "kept-terms")
-    return kept, found.select("digest", "text")
+    return kept, vocabulary, found.select("digest", "text")
 
 
 def _share(count: str, size: str, kinds: str) -> Column:
     """1 + floor(SCALE * (count + 1) / (size + kinds)), null where nothing is kept."""
-    return F.expr(f"1 + (cast({count} + 1 AS decimal(20,0)) * {SCALE}) div nullif({size} + {kinds}, 0)")
+    narrow = f"1 + (({count} + 1L) * {SCALE}L) div nullif({size} + {kinds}, 0L)"
+    wide = f"1 + (cast({count} + 1L AS decimal(20,0)) * {SCALE}) div nullif({size} + {kinds}, 0L)"
+    return F.when(F.expr(f"{count} < {NARROW}L"), F.expr(narrow)).otherwise(F.expr(wide))
 
 
 def _distance(p: Column, q: Column) -> Column:
@@ -227,14 +223,14 @@ def audit(docs: DataFrame, min_docs: int = 3, top: int = 200, digest_bits: int =
     every pair of sources of a language, so it grows with the square of their number; so does no
     other step but the sums of those pairs.
     """
-    kept, names = _kept_counts(docs, min_docs, digest_bits)
-    langs = kept.select("lang", "digest", "apart", "total").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("total").alias("lang_n"))
+    kept, vocabulary, names = _kept_counts(docs, min_docs, digest_bits)
+    langs = vocabulary.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("total").alias("lang_n"))
     sizes = kept.groupBy("lang", "source").agg(F.sum("c").alias("n"))
     groups = docs.select(*(F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source"))).distinct()
     groups = groups.join(sizes, ["lang", "source"], "left").join(langs, "lang", "left").na.fill(0, ["n", "v", "lang_n"])
-    groups = materialise(groups.withColumn("z", _share("0", "n", "v")), "groups")
-    rows = kept.join(groups, ["lang", "source"]).select(
-        "lang", "source", "digest", "apart", "z", _share("c", "n", "v").alias("p"), _share("total", "lang_n", "v").alias("q"))
+    groups = materialise(groups.withColumn("z", _share("0L", "n", "v")), "groups")
+    rows = materialise(kept.join(groups, ["lang", "source"]).select(
+        "lang", "source", "digest", "apart", "z", _share("c", "n", "v").alias("p"), _share("total", "lang_n", "v").alias("q")), "shares")
     rank = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
     pairs = _pairs(groups, rows).withColumn("rank", rank).withColumn("part", F.lit("pair"))
     rising = _rising(rows, names, top).withColumn("part", F.lit("term"))

@@ -62,7 +62,7 @@ def test_only_the_top_terms_with_ties(spark):
 
 def test_many_sources_and_blocks(spark, monkeypatch):
     monkeypatch.setattr(divergence, "CELLS", 50)
-    monkeypatch.setattr(divergence, "HELD", 20)
+    monkeypatch.setattr(divergence, "HELD", 200)
     rows = [(i, f"common word {'ab' * (i % 7)} {'c' * (i % 11)}", "en", f"s{i % 23}") for i in range(300)]
     got = divergence.audit(spark.createDataFrame(rows, ROWS).repartition(4))
     assert sorted(map(tuple, got.collect())) == brute(rows)
