@@ -1,10 +1,27 @@
-"""Queries of the operators that learn from the whole corpus: source divergence."""
+"""Queries of the operators over corpus-wide counts: language model, token alignment, source divergence."""
 
 from __future__ import annotations
 
-from ferrule.llm import divergence
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from ferrule.llm import brown_lm, divergence, token_alignment
 from ferrule.llm.catalog import register
-from ferrule.llm.common import read
+from ferrule.llm.common import crc_fold, read
+
+
+@register("op11_brown_lm")
+def op11_brown_lm(spark, sf_dir):
+    """Log probability of every document under class bigrams; folds 1 to 9 of 10 are learned from."""
+    docs = read(spark, sf_dir, "documents")
+    model = brown_lm.learn(docs.where(crc_fold("doc_id", 10) != 0))
+    return brown_lm.score(docs, model).withColumn("held_out", crc_fold("doc_id", 10) == F.lit(0))
+
+
+@register("op12_token_alignment")
+def op12_token_alignment(spark, sf_dir):
+    """Groups and links of the tokens of two vocabularies in every document, rated by how many documents hold a link."""
+    return token_alignment.align(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 @register("op13_source_divergence", """
