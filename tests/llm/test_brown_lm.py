@@ -19,8 +19,10 @@ def tokens(text):
     return [*(text or "").encode().lower().split(), b""]
 
 
-def ranks(model, held={}):  # noqa: B006
-    return held.setdefault(id(model), (model, {w: i for i, w in enumerate(model.known)}))[1]
+def ranks(model):
+    if not hasattr(model, "rank"):
+        model.rank = {w: i for i, w in enumerate(model.known)}
+    return model.rank
 
 
 def class_of(model, word):
@@ -124,7 +126,8 @@ def test_edges(make_docs, edge_texts, spark):
     keyed = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
     got = brown_lm.score(keyed, model)
     counts = Counter(t for r in docs.collect() for t in tokens(r["text"]))
-    want = {r["doc_id"]: sum(math.log10((counts[t] + 0.1) / (sum(counts.values()) + 0.1 * (len(counts) + 1))) for t in tokens(r["text"])) for r in keyed.collect()}
+    size = sum(counts.values()) + 0.1 * (len(counts) + 1)
+    want = {r["doc_id"]: sum(math.log10((counts[t] + 0.1) / size) for t in tokens(r["text"])) for r in keyed.collect()}
     assert {r["doc_id"]: round(r["base_score"], 5) for r in got.collect()} == {d: round(x, 5) for d, x in want.items()}
     assert brown_lm.score(docs.limit(0), model).count() == 0
     none = brown_lm.learn(docs.limit(0), n_classes=4)
