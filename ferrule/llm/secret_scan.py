@@ -29,17 +29,20 @@ ASSIGN_LEAST, ACCESS_LEAST = 12, 18
 KINDS = ("assign", "access", "hex", "lexed")
 
 #: Words of a name that make it sensitive, alone or as neighbours, with their weight.
-SENSITIVE = {("password",): 1.0, ("passwd",): 1.0, ("pwd",): 0.9, ("passphrase",): 1.0, ("secret",): 1.0, ("token",): 0.9,
+SENSITIVE = {("password",): 1.0, ("passwd",): 1.0, ("pwd",): 0.9, ("pass",): 0.9, ("passphrase",): 1.0, ("secret",): 1.0, ("token",): 0.9,
              ("apikey",): 1.0, ("api", "key"): 1.0, ("access", "key"): 1.0, ("private", "key"): 1.0, ("auth", "key"): 0.9,
              ("signing", "key"): 0.9, ("encryption", "key"): 0.9, ("credential",): 0.9, ("credentials",): 0.9,
              ("authorization",): 0.8, ("bearer",): 0.8, ("connection", "string"): 0.7}
 #: Words of a literal that mark a stand-in.
 STAND_IN = re.compile(r"(?i)^(?:changeme|change_me|example.*|placeholder|your[-_ ].*|todo|none|null|true|false|xxx+|\*+|<.*>|\$\{.*\}|\{\{.*\}\}|%\(.*\)s)$")
+#: The stand-ins that a value of any length may begin with.
+STAND_IN_BEGIN = re.compile(r"(?i)example|your[-_ ]")
 LEAST_SCORE = 1.0
 
 #: A "/" after ":" is a URL's; after "=" it begins a value.
 OPERATOR = re.compile(r"(?<![=!<>:])(?:(?::=|=>|=)(?![=:])|:(?![=:/]))")
 NAME_CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.-"
+NAME_RUN = re.compile(r"[A-Za-z0-9_.\-]*")
 GAP = re.compile(r"[ \t]*")
 QUOTED = re.compile(r'"((?:[^"\\\n]|\\.)*)"|\'((?:[^\'\\\n]|\\.)*)\'|`([^`\n]*)`')
 BARE = re.compile(r"[^\s,;'\"`(){}\[\]<>+&|]+")
@@ -49,8 +52,17 @@ TYPE = re.compile(r"""[ \t]*(?:[&*][ \t]*)*+(?:'[a-z_]+[ \t]+)?(?:(?:mut|const|d
                       (?:\|[ \t]*[A-Za-z_][A-Za-z0-9_.]*(?:::[A-Za-z0-9_.]+)*[ \t]*)*""", re.VERBOSE)
 #: A quoted type, as in a forward reference.
 QUOTED_TYPE = re.compile(r"""[ \t]*(["'])[A-Za-z_][A-Za-z0-9_.,<>\[\]| \t]*\1[ \t]*""")
+BLANKS = re.compile(r"[ \t]+")
 SUBSCRIPT = re.compile(r"""\[[ \t]*(?:"([^"\n]*)"|'([^'\n]*)'|`([^`\n]*)`|([A-Za-z0-9_.\-]*))[ \t]*\]""")
-PLUS = re.compile(r"[ \t]*\+[ \t]*")
+#: What leads from one term of a value to the next.
+JOIN = re.compile(r"[ \t]*(?:\+|\|\||\?\?|or\b)[ \t]*")
+#: What may stand before a term: brackets, and a line's end if a literal in quotes follows.
+LEAD = re.compile(r"""[ \t]*(?:\(\s*)*(?:\\?\r?\n[ \t]*(?=["'`]))?""")
+#: Letters before a literal's quotes, and calls whose first argument is a name.
+PREFIX = re.compile(r"""(?:[fFbBrRuU]{1,2}|u8|L)(?=["'])""")
+LOOKUP = ("getenv", "get", "env")
+ARGUMENT = re.compile(r"[ \t]*,?[ \t]*")
+CLOSE = re.compile(r"[ \t]*\)")
 PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 
@@ -78,7 +90,7 @@ class Value:
     def __init__(self, spans: list[tuple[int, int]], parts: list[Value]):
         self.spans, self.parts, self.scored = spans, parts, 0.0
 
-    def sensitive(self, text: str, weight: float) -> Iterator[tuple[int, int]]:
+    def sensitive(self, reader: Reader, weight: float) -> Iterator[tuple[int, int]]:
         """Spans that reach the least score under a name of ``weight``, those given out for this weight or more left out.
 
         So each value is read once for each weight of a name, however long the chains of constants are.
@@ -88,35 +100,136 @@ class Value:
             value = waiting.pop()
             if value.scored < weight:
                 value.scored = weight
-                yield from ((a, b) for a, b in value.spans if weight + literal_weight(text[a:b]) >= LEAST_SCORE)
+                yield from ((a, b) for a, b in value.spans if weight + reader.weight(a, b) >= LEAST_SCORE)
                 waiting += value.parts
 
 
-def _terms(text: str, at: int, known: dict[str, Value]) -> Value | None:
-    """The value at ``at``: literals quoted or bare, and named constants, joined by +; none if there is nothing."""
-    spans: list[tuple[int, int]] = []
-    parts: dict[int, Value] = {}
-    while True:
-        at = GAP.match(text, at).end()
-        if m := QUOTED.match(text, at):
-            spans.append((m.start() + 1, m.end() - 1))
-        elif m := BARE.match(text, at):
-            word = m[0].rstrip(".")
-            start, keys = m.start(), [word]
-            while n := SUBSCRIPT.match(text, m.end()):      # config["key"] is one term, its key a part of the name
-                keys.append(n[n.lastindex])
-                m = n
-            if word in ("Bearer", "Basic") and (n := BARE.match(text, GAP.match(text, m.end()).end())):
-                m = n
-                spans.append(n.span())
-            elif v := known.get(".".join(keys)) or known.get(word):
-                parts[id(v)] = v
+class Reader:
+    """The values of one text, each place read once, however many operators stand in one word or chain of terms."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.run = (0, 0, 0)                        # the last bare run: from, to, to without the dots at its end
+        self.chains: dict[int, Value | None] = {}   # values by where their first term begins
+        self.open: set[str] = set()                 # triple quotes that nothing closes any more
+        self.weights: dict[tuple[int, int], float] = {}
+
+    def bare(self, at: int) -> tuple[int, int] | None:
+        """Where the bare word at ``at`` ends, with and without the dots at its end; none if there is none."""
+        lo, hi, last = self.run
+        if not lo <= at < hi:
+            if not (m := BARE.match(self.text, at)):
+                return None
+            hi = last = m.end()
+            while last > at and self.text[last - 1] == ".":
+                last -= 1
+            self.run = (at, hi, last)
+        return hi, max(at, last)
+
+    def quoted(self, at: int) -> tuple[int, int, int] | None:
+        """A literal in quotes, with letters before them or without: its span and where it ends."""
+        if m := PREFIX.match(self.text, at):
+            at = m.end()
+        for mark in ('"""', "'''"):
+            if mark not in self.open and self.text.startswith(mark, at):
+                if (end := self.text.find(mark, at + 3)) >= 0:
+                    return at + 3, end, end + 3
+                self.open.add(mark)
+        return (m.start() + 1, m.end() - 1, m.end()) if (m := QUOTED.match(self.text, at)) else None
+
+    def arguments(self, at: int, skip: bool) -> tuple[list[tuple[int, int]], int]:
+        """The literals in quotes among a call's arguments, and where the call, or what could be read of it, ends."""
+        spans = []
+        while True:
+            at = ARGUMENT.match(self.text, at).end()
+            if q := self.quoted(at):
+                spans.append(q[:2])
+                at = q[2]
+            elif not skip and (m := NAME_RUN.match(self.text, at)) and m.end() > at:
+                at = m.end()
             else:
-                spans.append((start, start + len(word)))
-        if not m or not (p := PLUS.match(text, m.end())):
+                break
+            if skip:
+                spans, skip = [], False
+        return spans, m.end() if (m := CLOSE.match(self.text, at)) else at
+
+    def value(self, at: int, known: dict[str, Value]) -> Value | None:
+        """The value at ``at``: literals quoted or bare, and named constants, joined by +, "or" and the like; none if there is nothing."""
+        terms, at = [], LEAD.match(self.text, at).end()
+        rest = None
+        while at not in self.chains:
+            spans, part, end = self.term(at, known)
+            terms.append((at, spans, part))
+            if end is None or not (m := JOIN.match(self.text, end)):
+                break
+            at = LEAD.match(self.text, m.end()).end()
+        else:
+            rest = self.chains[at]
+        for start, spans, part in reversed(terms):      # a chain's later terms are a value of their own
             spans = [s for s in spans if s[0] < s[1]]
-            return Value(spans, list(parts.values())) if spans or parts else None
-        at = p.end()
+            parts = [v for v in (part, rest) if v is not None]
+            rest = self.chains[start] = Value(spans, parts) if spans or parts else None
+        return rest
+
+    def term(self, at: int, known: dict[str, Value]) -> tuple[list[tuple[int, int]], Value | None, int | None]:
+        """Spans of one term's literals, the constant that it names, and where it ends (none if there is no term)."""
+        text = self.text
+        if q := self.quoted(at):
+            return [q[:2]], None, q[2]
+        if not (run := self.bare(at)):
+            return [], None, None
+        end, last = run
+        plain = NAME_RUN.match(text, at).end() >= last      # no operator in the word: it may be a name
+        if text.startswith("(", end) and plain and last > at:
+            spans, end = self.arguments(end + 1, text[at:last].rpartition(".")[2].lower() in LOOKUP)
+            return spans, None, end
+        keys = []
+        while n := SUBSCRIPT.match(text, end):              # config["key"] is one term, its key a part of the name
+            keys.append(n[n.lastindex])
+            end = n.end()
+        if plain:
+            word = text[at:last]
+            if word in ("Bearer", "Basic") and (more := self.bare(start := GAP.match(text, end).end())):
+                return [(start, more[0])], None, more[0]
+            if v := known.get(".".join([word, *keys])) or known.get(word):
+                return [], v, end
+        return [(at, last)], None, end
+
+    def weight(self, a: int, b: int) -> float:
+        """``literal_weight`` of a span. The long ends of one bare run share a single pass over it."""
+        if b - a <= 256:
+            return literal_weight(self.text[a:b])
+        if (a, b) not in self.weights:
+            if not (m := BARE.match(self.text, a)) or m.end() < b:
+                self.weights[a, b] = literal_weight(self.text[a:b])
+            else:
+                self.ends(a, b)
+        return self.weights[a, b]
+
+    def ends(self, a: int, b: int) -> None:
+        """Weights of what reaches from any operator after ``a``, and from ``a`` itself, to ``b``, in one pass from the end."""
+        text, counts, total = self.text, Counter(), 0.0
+        lower = upper = digit = other = letters = 0
+        begins = {a, *(m.end() for m in OPERATOR.finditer(text, a, b))}
+        for i in range(b - 1, a - 1, -1):
+            c = text[i]
+            n = counts[c]
+            total += (n + 1) * math.log2(n + 1) - (n * math.log2(n) if n else 0.0)
+            counts[c] = n + 1
+            lower += c.islower()
+            upper += c.isupper()
+            digit += c.isdigit()
+            other += not c.isalnum()
+            letters += c.isalpha()
+            size = b - i
+            if i not in begins or size <= 256:
+                continue
+            if len(counts) < 4 or STAND_IN_BEGIN.match(text, i):
+                self.weights[i, b] = -1.0
+                continue
+            kinds = (lower > 0) + (upper > 0) + (digit > 0) + (other > 0)
+            plain = letters == size and (upper == 0 and lower > 0 or upper == 1 and text[i].isupper())
+            self.weights[i, b] = 0.2 + 0.2 * (kinds >= 2) + 0.2 * (math.log2(size) - total / size >= 3.0) - 0.6 * plain
 
 
 def _name(left: str) -> str:
@@ -168,7 +281,7 @@ def _is_type(between: str) -> bool:
             return False
         if not depth and c not in "]>":
             outside.append(c)
-    return depth == 0 and bool(TYPE.fullmatch("".join(outside)) or QUOTED_TYPE.fullmatch(between))
+    return depth == 0 and bool(TYPE.fullmatch(BLANKS.sub(" ", "".join(outside))) or QUOTED_TYPE.fullmatch(between))
 
 
 def _names(text: str, last: int, end: int) -> tuple[str, list[str]]:
@@ -199,6 +312,7 @@ def lexed(text: str) -> list[tuple[int, int]]:
     and by what stands before the "=".
     """
     known: dict[str, Value] = {}
+    reader = Reader(text)
     found: set[tuple[int, int]] = set()
     last = 0                            # a name holds no operator, so it stands after the last one
     declared: list[str] = []            # the names before the last operator, if that was ":"
@@ -212,11 +326,11 @@ def lexed(text: str) -> list[tuple[int, int]]:
             names = [name] if name else []
         declared = own if op[0] == ":" and name else []
         last = op.end()
-        if not names or not (value := _terms(text, op.end(), known)):
+        if not names or not (value := reader.value(op.end(), known)):
             continue
         known.update((n, value) for n in own if n)
         if weight := max(map(name_weight, names)):
-            found.update(value.sensitive(text, weight))
+            found.update(value.sensitive(reader, weight))
     return sorted(found)
 
 
@@ -235,8 +349,12 @@ def scan(text: str | None) -> list[tuple[str, int, int, int]]:
     spans += [("hex", *m.span(), m.start()) for m in HEX.finditer(text)]
     if "=" in text or ":" in text:
         base = sorted(s[1:3] for s in spans)
-        for a, b in lexed(text):
-            if not any(x <= a and b <= y for x, y in base):
+        far, at, reach = lexed(text), 0, -1         # both by start: of the base spans that begin before, the farthest end
+        for a, b in far:
+            while at < len(base) and base[at][0] <= a:
+                reach = max(reach, base[at][1])
+                at += 1
+            if b > reach:
                 spans.append(("lexed", a, b, a))
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 

@@ -179,13 +179,8 @@ def links(fps: DataFrame) -> DataFrame:
     return found
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, max_bits: int = MAX_BITS) -> DataFrame:
-    """``key, fp, h, component_id``: fingerprint, text hash and the smallest key reachable over links, itself included.
-
-    ``key`` is a long. Null and empty texts have fingerprint 0 and link like any other. Rows with a
-    null key get the component of their fingerprint's other rows (null without any). Repeated rows
-    stay repeated; an empty table gives an empty result; other columns aren't read.
-    """
+def _grouped(docs: DataFrame, key: str, text: str, shingle: int, max_bits: int) -> DataFrame:
+    """``key, fp, h, c, component_id``: ``c`` is the smallest fingerprint of the group."""
     if max_bits != MAX_BITS:
         raise ValueError(f"the deletion-variant index is built for {MAX_BITS} bits")
     prints = materialise(fingerprints(docs, key, text, shingle), "prints")
@@ -194,19 +189,31 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     named = materialise(classes.join(linked, classes["fp"] == linked["node"], "left")
                         .select("fp", "first", F.coalesce("component", "fp").alias("c")), "classes-named")
     least = named.groupBy("c").agg(F.min("first").alias("component_id"))
-    by_print = named.join(least, "c").select("fp", "component_id")
-    return prints.join(by_print, "fp").select(key, "fp", "h", "component_id")
+    by_print = named.join(least, "c").select("fp", "c", "component_id")
+    return prints.join(by_print, "fp").select(key, "fp", "h", "c", "component_id")
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, max_bits: int = MAX_BITS) -> DataFrame:
+    """``key, fp, h, component_id``: fingerprint, text hash and the smallest key reachable over links, itself included.
+
+    ``key`` is a long. Null and empty texts have fingerprint 0 and link like any other. Rows with a
+    null key get the component of their fingerprint's other rows (null without any). Repeated rows
+    stay repeated; an empty table gives an empty result; other columns aren't read.
+    """
+    return _grouped(docs, key, text, shingle, max_bits).drop("c")
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, max_bits: int = MAX_BITS) -> DataFrame:
-    """One row of each group of near-duplicates, with all columns: a row of the smallest key.
+    """One row of each group of near-duplicates, with all columns: a row of the group's smallest key.
 
-    If several rows have that key, the one with the smallest text hash stays, and of rows equal in
-    key and text any one. Rows with a null key pass.
+    Groups are those of fingerprints, so rows that share a key but not their text stay in the groups
+    of their texts. If several rows of a group have its smallest key, the one with the smallest text
+    hash stays, and of rows equal in key and text any one. Rows with a null key pass.
     """
-    found = near_duplicates(docs, key, text, shingle, max_bits)
-    first = found.where(F.col(key) == F.col("component_id")).groupBy(F.col(key).alias("__ferrule_key")).agg(F.min("h").alias("__ferrule_hash"))
-    # A group is named by its smallest key, so one key holds one row of one group.
+    found = _grouped(docs, key, text, shingle, max_bits).where(F.col(key).isNotNull())
+    first = found.groupBy("c").agg(F.min(F.struct(F.col(key).alias("k"), "h")).alias("s"))
+    first = first.select(F.col("s.k").alias("__ferrule_key"), F.col("s.h").alias("__ferrule_hash"))
+    # A key and a text are rows of one group, so these two name one survivor each.
     named = docs.withColumn("__ferrule_hash", F.xxhash64(text))
     kept = named.join(first, (named[key] == first["__ferrule_key"]) & (named["__ferrule_hash"] == first["__ferrule_hash"])).select(named["*"])
     one = kept.withColumn("__ferrule_rank", F.row_number().over(Window.partitionBy(key, "__ferrule_hash").orderBy(F.lit(0)))).where("__ferrule_rank = 1")

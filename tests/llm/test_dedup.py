@@ -219,3 +219,11 @@ def test_passes_follow_the_size_of_the_table(spark, monkeypatch):
     links = (y @ y.T >= 0.9).sum(axis=1) - 1
     assert used == [embedding_dedup.passes_for(3000, 0.9, 1, 0.99)] and used[0] > 24
     assert sum(r["n_links"] for r in got) >= 0.99 * links.sum() > 0
+
+
+def test_simhash_keeps_a_row_of_every_group_when_keys_repeat(make_docs):
+    one, two = "first text about cats and dogs that sit here", "another thing entirely on boats and long rivers today"
+    kept = simhash.keep_first(make_docs([(1, one), (1, two), (2, one), (3, two), (3, one)])).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == sorted([(1, one), (1, two)])
+    kept = simhash.keep_first(make_docs([(1, one), (2, two), (2, one), (2, two)])).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == sorted([(1, one), (2, two)])

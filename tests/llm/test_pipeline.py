@@ -25,7 +25,8 @@ def test_stages_against_brute_force(spark):
 
     known = stages["language_id"](spark, clean, SF)
     languages = langid.learn(clean.where(crc_fold("doc_id", 4) != 2))
-    want = [r for r in want if (p := languages.predict([r["text"]])[0])[0] != "und" and p[1] >= 0.505]
+    letters = set().union(*({c for c in r["text"].lower() if c.isalpha()} for r in clean.where(crc_fold("doc_id", 4) != 2).collect() if r["text"] and r["lang"]))
+    want = [r for r in want if set(r["text"].lower()) & letters]
     assert sorted(known.collect()) == sorted(want)
 
     single = stages["simhash_dedup"](spark, known, SF)
@@ -64,6 +65,6 @@ def test_edges_pass_through_every_stage(spark, make_docs, edge_texts):
 def test_registered():
     queries = __spark_entry__.queries()
     assert queries["pipeline"] is corpus_pipeline.run
-    assert sorted(int(n[2:].split("_")[0]) for n in queries if n.startswith("op")) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries if n.startswith("op")) == list(range(1, 14))
     assert [s for s, _ in corpus_pipeline.STAGES] == ["toxicity", "language_id", "simhash_dedup", "secret_scan", "packing"]
     assert packing.pack

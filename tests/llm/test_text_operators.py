@@ -313,3 +313,39 @@ def test_secret_operators_edges(make_docs, edge_texts, spark):
         base = brute_base(r["text"])
         assert got[r["doc_id"]]["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
         assert got[r["doc_id"]]["n_hex"] == sum(k == "hex" for k, _, _ in base)
+
+
+@pytest.mark.parametrize("unit,end", [("a=", ""), ("a:", ""), ("AB:", ""), ("token=", "Ab3$xY9z"), ("a=b+", ""), ("token=Qb7x9Zk2+", ""), ("a[", "=1"), ("a[1]", "=x"),
+                                      ("a=(", ""), ("t=f(a,", ""), ('a="a=', ""), ("token=example=", ""), ("a=.", ""), ("token='", ""), (" ", "$ = 1"), ('a="""', "")])
+def test_secret_scan_is_linear(unit, end):
+    import time
+
+    took = []
+    for size in (40_000, 400_000):
+        text = "x:" + unit * (size // len(unit)) + end
+        begin = time.process_time()
+        secret_scan.scan(text)
+        took.append(time.process_time() - begin)
+    assert took[1] < 40 * max(took[0], 0.02)        # 10 times the text; a quadratic reader takes 100 times
+
+
+LITERAL = "Xk39fk3kd93"
+
+
+@pytest.mark.parametrize("text", ['password = f"{}"', "password = b'{}'", 'password = R"{}"', 'password = """{}"""', "password = '''{}'''", 'password = (\n    "{}"\n)', 'password = \\\n  "{}"',
+                                  'password = x or "{}"', 'password = a.b || "{}"', 'password = os.getenv("DB_PASSWORD_NAME", "{}")', 'password = decode("{}")', "db_pass: {}", 'k = "{}"\npassword = k'])
+def test_secret_literal_forms(text):
+    text = text.replace("{}", LITERAL)
+    assert [text[a:b] for a, b in secret_scan.lexed(text)] == [LITERAL]
+
+
+def test_calls_and_names_are_no_secrets():
+    for text in ("token = get_token()", "password = os.getenv", 'password = os.environ.get("MY_PASSWORD_NAME")', "password = settings.db.password_value(1)"):
+        assert [text[a:b] for a, b in secret_scan.lexed(text) if "(" in text] == []
+
+
+@given(st.text(st.sampled_from("abXY19=:/_-ÄßeE"), min_size=257, max_size=400))
+def test_long_ends_weigh_as_literals_do(text):
+    reader = secret_scan.Reader(text)
+    for at in [0, *(m.end() for m in secret_scan.OPERATOR.finditer(text))]:
+        assert reader.weight(at, len(text)) == pytest.approx(secret_scan.literal_weight(text[at:]))
