@@ -24,6 +24,7 @@ import uuid
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,7 @@ from ferrule.llm.common import materialise, text_slices, worker_cache
 BLANK = "▁"
 #: White space that ends in a byte beyond ASCII (UTF-8 as a number); a blank behind it is no safe cut.
 WIDE_SPACE = [int.from_bytes(c.encode(), "big") for c in map(chr, range(128, 0x3001)) if c.isspace()]
-HELD = 250_000              # different parts whose alignment a worker holds
+HELD = 500_000              # different parts whose alignment a worker holds
 SLICE = 6_000_000           # bytes of texts that a task aligns at a time
 KNOWN = 262_144             # pairs whose counts every task gets
 STEPS = 8                   # steps a factor of two by which pair counts are sorted into classes of frequency
@@ -87,7 +88,7 @@ class Pair:
         #: The word pattern of the first puts a blank behind no other character but white space; pieces are looked through.
         self.cuts = not any(BLANK in p.lstrip(BLANK) for p in names)
         self.lone_blank = self.second.encode("a ")[len(self.second.encode("a")):]
-        self.held: dict[bytes, tuple] = {}
+        self.forget()
 
     def parts(self, raw: bytes, start: np.ndarray) -> np.ndarray:
         """Where the parts of the texts that begin at ``start`` begin."""
@@ -103,47 +104,71 @@ class Pair:
         plain[wide] = ~np.isin(pair, WIDE_SPACE) & ~np.isin(text[at[wide] - 3].astype(np.int64) << 16 | pair, WIDE_SPACE)
         return np.union1d(start, at[plain])
 
-    def align(self, part: bytes, a: list[int], b: list[int]) -> tuple:
-        """``tokens of each, groups, links, groups as text, linked pairs, links of each`` of one part; empty if bytes differ."""
-        one, two = [self.first_bytes[i] for i in a], [self.second_bytes[i] for i in b]
-        if b"".join(one) != part or b"".join(two) != part:
-            return ()
-        at = 0
-        first_ends = [at := at + len(x) for x in one]
-        at = 0
-        second_ends = [at := at + len(x) for x in two]
+    def align(self, part: bytes, a: list[int], b: list[int], keys: list[int], times: list[int]) -> tuple[int, int, int, int, bytes] | None:
+        """``tokens of each, groups, links, groups as text`` of one part; None if the bytes differ.
+
+        Linked pairs are appended to ``keys``, with their number to ``times``; a pair may come several times.
+        """
+        first_ends, second_ends = (list(accumulate(map(len, map(x, y)))) for x, y in ((self.first_bytes.__getitem__, a), (self.second_bytes.__getitem__, b)))
+        if b"".join(map(self.second_bytes.__getitem__, b)) != part or b"".join(map(self.first_bytes.__getitem__, a)) != part:
+            return None
+        width, n = self.width, len(a)
+        if first_ends == second_ends:
+            keys += [x * width + y for x, y in zip(a, b, strict=True)]
+            times += [1] * n
+            return n, n, n, n, ";".join([f"{x}|{y}" for x, y in zip(a, b, strict=True)]).encode()
+        told, links = [], 0
         found = groups_of(first_ends, second_ends)
-        links: Counter = Counter()
         for al, ah, bl, bh in found:
-            if ah - al == 1 and bh - bl == 1:
-                links[a[al] * self.width + b[bl]] += 1
+            cells = (ah - al) * (bh - bl)
+            links += cells
+            if cells == 1:
+                keys.append(a[al] * width + b[bl])
+                told.append(f"{a[al]}|{b[bl]}")
+                times.append(1)
                 continue
-            times = Counter(b[bl:bh])
-            for x, n in Counter(a[al:ah]).items():
-                for y, m in times.items():
-                    links[x * self.width + y] += n * m
-        text = ";".join([",".join(map(str, a[al:ah])) + "|" + ",".join(map(str, b[bl:bh])) for al, ah, bl, bh in found])
-        return (len(a), len(b), len(found), sum(links.values()), text.encode(),
-                np.fromiter(links, np.int64, len(links)).tobytes(), np.fromiter(links.values(), np.int64, len(links)).tobytes())
-
-    def aligned(self, parts: list[bytes]) -> list[tuple]:
-        """The alignments of different parts; those that aren't held are encoded together."""
-        held = self.held
-        if len(held) > HELD:
-            held.clear()
-        out = [held.get(p) for p in parts]
-        new = [i for i, x in enumerate(out) if x is None]
+            told.append(",".join(map(str, a[al:ah])) + "|" + ",".join(map(str, b[bl:bh])))
+            if cells <= 64:
+                keys += [x * width + y for x in a[al:ah] for y in b[bl:bh]]
+                times += [1] * cells
+            else:
+                right = Counter(b[bl:bh])
+                for x, i in Counter(a[al:ah]).items():
+                    keys += [x * width + y for y in right]
+                    times += [i * j for j in right.values()]
+        return n, len(b), len(found), links, ";".join(told).encode()
+
+    def places(self, parts: list[bytes]) -> np.ndarray:
+        """Where the alignments of different parts are held; those that aren't yet are encoded together."""
+        if len(self.index) > HELD or len(self.keys) > 16 * HELD:
+            self.forget()
+        new = [p for p in parts if p not in self.index]
         for lo in range(0, len(new), 20_000):
             some = new[lo:lo + 20_000]
-            texts = [parts[i].decode() for i in some]
+            texts = [p.decode() for p in some]
             words = [self.first.split(t) for t in texts]
             ids = self.first_ids.learn(set().union(*words))
             second = self.second.encode([t[1:] for t in texts], num_threads=1)
-            for i, text, split, b in zip(some, texts, words, second, strict=True):
-                a = np.frombuffer(b"".join([ids[w] for w in split]), dtype="<u4").tolist()
-                out[i] = self.align(parts[i], a, b if len(text) > 1 else self.lone_blank)
-        held.update((parts[i], out[i]) for i in new if len(parts[i]) <= 64)
-        return out
+            numbers, sizes, keys, times = [], [], [], []
+            for part, split, b in zip(some, words, second, strict=True):
+                before = len(keys)
+                got = self.align(part, memoryview(b"".join([ids[w] for w in split])).cast("I").tolist(), b if len(part) > 1 else self.lone_blank, keys, times)
+                self.index[part] = len(self.told)
+                self.told.append(got[4] if got else b"")
+                numbers.append(got[:4] if got else (0, 0, 0, 0))
+                sizes.append(len(keys) - before)
+            self.numbers = np.concatenate([self.numbers, np.array(numbers, dtype=np.int64)])
+            self.sizes = np.concatenate([self.sizes, np.array(sizes, dtype=np.int64)])
+            self.keys = np.concatenate([self.keys, np.array(keys, dtype=np.int64)])
+            self.times = np.concatenate([self.times, np.array(times, dtype=np.int64)])
+        return np.fromiter(map(self.index.__getitem__, parts), np.int64, len(parts))
+
+    def forget(self) -> None:
+        """Empties the table of alignments: texts of groups by place, their numbers, and their linked pairs end to end."""
+        self.index: dict[bytes, int] = {}
+        self.told: list[bytes] = []
+        self.numbers = np.zeros((0, 4), dtype=np.int64)     # no tokens: the bytes differ
+        self.sizes, self.keys, self.times = (np.zeros(0, dtype=np.int64) for _ in range(3))
 
 
 ROWS = ("row long, k {kind}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
@@ -161,13 +186,13 @@ def _align_slice(keys: pa.Array, texts: list[bytes | None], tools: Pair, row: in
     words = pa.Array.from_buffers(pa.large_binary(), len(cut), [None, pa.py_buffer(np.append(cut, len(raw)).astype(np.int64)), pa.py_buffer(raw)])
     coded = words.dictionary_encode()
     code = coded.indices.to_numpy().astype(np.int64)
-    found = tools.aligned(coded.dictionary.to_pylist())
-    kinds = len(found)
+    place = tools.places(coded.dictionary.to_pylist())
+    kinds = len(place)
     whose = np.searchsorted(start, cut, side="right") - 1      # text of every part, among the full ones
-    bad = np.array([not x for x in found], dtype=bool)
+    numbers = tools.numbers[place]
+    bad = numbers[:, 0] == 0
     good = np.ones(len(full), dtype=bool)
     good[whose[bad[code]]] = False                  # one part whose bytes differ: the text has no tokens
-    numbers = np.array([x[:4] if x else (0, 0, 0, 0) for x in found], dtype=np.int64).reshape(-1, 4)
     totals = np.zeros((n, 4), dtype=np.int64)
     sums = np.zeros((len(full), 4), dtype=np.int64)
     edge = np.searchsorted(whose, np.arange(len(full) + 1))
@@ -175,16 +200,16 @@ def _align_slice(keys: pa.Array, texts: list[bytes | None], tools: Pair, row: in
         sums = np.add.reduceat(numbers[code], edge[:-1])
     totals[full[good]] = sums[good]
     digest = [""] * n
-    told = [x[4] if x else b"" for x in found]
+    told = [tools.told[i] for i in place.tolist()]
     listed = code.tolist()
     for i in np.flatnonzero(good).tolist():
         digest[full[i]] = hashlib.sha256(b";".join([told[c] for c in listed[edge[i]:edge[i + 1]]])).hexdigest()
 
     use = good[whose]
     cell, times = np.unique(whose[use] * max(1, kinds) + code[use], return_counts=True)
-    flat = np.frombuffer(b"".join([x[5] if x else b"" for x in found]), dtype=np.int64)
-    weight = np.frombuffer(b"".join([x[6] if x else b"" for x in found]), dtype=np.int64)
-    size = np.array([len(x[5]) // 8 if x else 0 for x in found], dtype=np.int64)
+    size, stops = tools.sizes[place], np.cumsum(tools.sizes)
+    own = np.repeat(stops[place] - size - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+    flat, weight = tools.keys[own], tools.times[own]        # the pairs of this slice's parts, end to end
     first = np.cumsum(size) - size
     name, number = np.unique(flat, return_inverse=True)
     kind, text = cell % max(1, kinds), cell // max(1, kinds)
