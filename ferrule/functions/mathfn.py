@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from ferrule.functions.udf_support import ship_by_value
 
 # --- fixed values: five-stop viridis-like colour ramp (RGB) ------------------
 VIRIDIS_STOPS = [
@@ -81,21 +85,22 @@ def pretty_duration(seconds) -> Column:
             .otherwise(long_form))
 
 
+def _g6(values: pd.Series) -> pd.Series:
+    return values.map(lambda v: f"{v:.6g}")
+
+
+_g6_udf = F.pandas_udf(_g6, StringType())
+
+
 def format_g6(value, signed: bool = False) -> Column:
-    """Python's ``f"{v:.6g}"`` (or ``:+.6g``): 6 significant digits, no trailing zeros.
+    """``%.6g`` (or ``%+.6g``): 6 significant digits of the exact binary value, ties to even, no trailing zeros.
 
-    The JVM's ``%g`` keeps trailing zeros (``75.0000``), so they are removed here.
+    The JVM's own formatter rounds the shortest decimal text instead, which is wrong at ties, and no
+    built-in function gives a double's exact digits; so the text is made in Arrow batches.
     """
     v = _c(value).cast("double")
-    raw = F.format_string("%.6g", v)
-    sci = F.regexp_replace(F.regexp_replace(raw, r"(\.\d*?)0+e", "$1e"), r"\.e", "e")
-    dec = F.regexp_replace(F.regexp_replace(raw, r"(\.\d*?)0+$", "$1"), r"\.$", "")
-    body = F.when(F.instr(raw, "e") > 0, sci).otherwise(dec)
-    body = (F.when(F.isnan(v), F.lit("nan"))
-            .when(v == float("inf"), F.lit("inf"))
-            .when(v == float("-inf"), F.lit("-inf"))
-            .otherwise(body))
-    if signed:
-        body = F.when((v >= 0) & ~F.startswith(body, F.lit("-")) & ~F.isnan(v),
-                      F.concat(F.lit("+"), body)).otherwise(body)
-    return body
+    text = F.when(v.isNull(), F.lit(None)).when(F.isnan(v), F.lit("nan")).otherwise(_g6_udf(v))
+    return F.when(F.startswith(text, F.lit("-")), text).otherwise(F.concat(F.lit("+"), text)) if signed else text
+
+
+ship_by_value(__name__)

@@ -24,7 +24,7 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
-QUERY_MODULES = ("q_scoring", "q_text", "q_corpus", "q_preference", "q_router", "q_metrics")
+QUERY_MODULES = ("q_scoring", "q_text", "q_corpus", "q_preference", "q_router", "q_metrics", "q_io")
 
 
 def load_all() -> None:

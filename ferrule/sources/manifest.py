@@ -19,23 +19,23 @@ MANIFEST_DIR = "_manifest"
 PLAIN_DATA = "data"     # where a dataset without any manifest lies
 
 
-def _fs(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p, fs = _fs(spark, path)
+def exists(spark: SparkSession, path: str) -> bool:
+    p, fs = file_system(spark, path)
     return fs.exists(p)
 
 
 def _versions(spark: SparkSession, path: str) -> list[int]:
     """Numbers of the complete manifests below ``path``, in order."""
-    p, fs = _fs(spark, f"{path}/{MANIFEST_DIR}")
+    p, fs = file_system(spark, f"{path}/{MANIFEST_DIR}")
     if not fs.exists(p):
         return []
     names = [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()]
-    return sorted(int(n[2:]) for n in names if n.startswith("n=") and n[2:].isdigit() and _exists(spark, f"{path}/{MANIFEST_DIR}/{n}/_SUCCESS"))
+    return sorted(int(n[2:]) for n in names if n.startswith("n=") and n[2:].isdigit() and exists(spark, f"{path}/{MANIFEST_DIR}/{n}/_SUCCESS"))
 
 
 def _stored(spark: SparkSession, path: str) -> dict | None:
@@ -84,7 +84,7 @@ def load_or_build(spark: SparkSession, path: str, manifest: dict, build, rebuild
         if stored["manifest"] != manifest:
             raise ValueError(f"saved dataset at {path} was built with {stored['manifest']}, requested {manifest}")
         return spark.read.parquet(f"{path}/{stored['data']}")
-    if not rebuild and _exists(spark, f"{path}/{PLAIN_DATA}"):
+    if not rebuild and exists(spark, f"{path}/{PLAIN_DATA}"):
         if length_capped:
             raise ValueError(f"dataset at {path} has no manifest; cannot verify its length cap")
         return spark.read.parquet(f"{path}/{PLAIN_DATA}")

@@ -31,7 +31,7 @@ def _indexed(df: DataFrame, cols: list[str]) -> DataFrame:
     Rows of a split come in file order, and splits are ordered by their start. A log has a line a
     step, so the window of one file is small.
     """
-    place = df.select(*[F.col(c).cast("string") for c in cols], F.col("_metadata.file_path").alias("file"),
+    place = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in cols], F.col("_metadata.file_path").alias("file"),
                       F.col("_metadata.file_block_start").alias("__start"), F.monotonically_increasing_id().alias("__id"))
     at = F.row_number().over(Window.partitionBy("file").orderBy("__start", "__id")) - 1
     return place.withColumn(INDEX, at.cast("long")).drop("__start", "__id")

@@ -48,7 +48,7 @@ def test_building_a_query_reads_schemas_only(spark):
     import __spark_entry__ as E
     sc = spark.sparkContext
     for name, build in E.queries().items():
-        if not name.startswith("q_"):
+        if not name.startswith("q_") or build.__module__ == "ferrule.plans.q_io":       # those write first: that is what they check
             continue
         sc.setJobGroup(f"build {name}", name)
         plan = build(spark, SF)
