@@ -40,8 +40,8 @@ from ferrule.llm.common import materialise, text_slices, worker_cache
 BLANK = "▁"
 #: White space that ends in a byte beyond ASCII (UTF-8 as a number); a blank behind it is no safe cut.
 WIDE_SPACE = [int.from_bytes(c.encode(), "big") for c in map(chr, range(128, 0x3001)) if c.isspace()]
-HELD = 500_000              # different parts whose alignment a worker holds
-SLICE = 6_000_000           # bytes of texts that a task aligns at a time
+HELD = 450_000              # different parts whose alignment a worker holds
+SLICE = 4_000_000           # bytes of texts that a task aligns at a time
 KNOWN = 262_144             # pairs whose counts every task gets
 STEPS = 8                   # steps a factor of two by which pair counts are sorted into classes of frequency
 
@@ -78,13 +78,15 @@ class Pair:
 
         self.first = Vocabulary(bpe_json)
         self.first.special, self.first.special_re = {}, None        # their strings are plain text
-        self.first_ids = WordIds(self.first, most=0)
+        self.first_ids = WordIds(self.first, most=50_000)
         self.first_bytes = self.first.bytes_of
         self.second = sentencepiece.SentencePieceProcessor(model_proto=piece_model)
         ids = range(self.second.get_piece_size())
         self.width = len(ids)
         names = [self.second.id_to_piece(i) for i in ids]
         self.second_bytes = [bytes([int(p[3:5], 16)]) if self.second.is_byte(i) else p.replace(BLANK, " ").encode() for i, p in enumerate(names)]
+        self.first_sizes = {i: len(x) for i, x in self.first_bytes.items()}.__getitem__
+        self.second_sizes = [len(x) for x in self.second_bytes].__getitem__
         #: The word pattern of the first puts a blank behind no other character but white space; pieces are looked through.
         self.cuts = not any(BLANK in p.lstrip(BLANK) for p in names)
         self.lone_blank = self.second.encode("a ")[len(self.second.encode("a")):]
@@ -109,8 +111,8 @@ class Pair:
 
         Linked pairs are appended to ``keys``, with their number to ``times``; a pair may come several times.
         """
-        first_ends, second_ends = (list(accumulate(map(len, map(x, y)))) for x, y in ((self.first_bytes.__getitem__, a), (self.second_bytes.__getitem__, b)))
-        if b"".join(map(self.second_bytes.__getitem__, b)) != part or b"".join(map(self.first_bytes.__getitem__, a)) != part:
+        first_ends, second_ends = list(accumulate(map(self.first_sizes, a))), list(accumulate(map(self.second_sizes, b)))
+        if first_ends[-1] != len(part) or b"".join(map(self.second_bytes.__getitem__, b)) != part:     # the first's tokens are the bytes themselves
             return None
         width, n = self.width, len(a)
         if first_ends == second_ends:
