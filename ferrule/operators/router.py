@@ -119,20 +119,29 @@ def specialization_loss(rl: DataFrame, target: str = "domain_id") -> DataFrame:
     return x.groupBy("layer").agg(F.avg("ce").alias("spec_loss"), F.count(F.lit(1)).alias("n_tokens"))
 
 
+def mean_specialization_loss(rl: DataFrame, target: str = "domain_id") -> DataFrame:
+    """RTR8 over all layers: one row with the mean of the layers' losses, 0 where there is no layer."""
+    return specialization_loss(rl, target).agg(F.coalesce(F.avg("spec_loss"), F.lit(0.0)).alias("spec_loss"), F.count(F.lit(1)).alias("n_layers"))
+
+
 def kl_guidance_loss(rl: DataFrame, n_experts: int, n_domains: int, n_layers: int,
-                     low_p: float = LOW_P) -> DataFrame:
-    """RTR9: KL(target || router) with target = high_p on the domain's expert, low_p elsewhere.
+                     low_p: float = LOW_P, experts: dict[int, list[int]] | None = None) -> DataFrame:
+    """RTR9: KL(target || router) with target = high_p on the domain's experts, low_p elsewhere.
 
-    ``batchmean`` per layer (sum over experts / valid tokens); layers without
-    valid tokens or with a non-finite value are skipped; the sum is divided by
-    the full layer count.
+    ``experts`` maps every domain to its experts (default: the one of its own number); ``high_p``
+    shares what ``low_p`` leaves among as many experts as the first domain has. ``batchmean`` per
+    layer (sum over experts / valid tokens); layers without valid tokens or with a non-finite value
+    are skipped; the sum is divided by the full layer count.
     """
-    high_p = 1.0 - (n_experts - 1) * low_p
+    experts = experts or {d: [d] for d in range(n_domains)}
+    share = len(experts[min(experts)])
+    high_p = (1.0 - (n_experts - share) * low_p) / share
     valid = (F.col("domain_id") >= 0) & (F.col("domain_id") < n_domains)
     lp = A.log_softmax("logits")
+    own = F.create_map(*[x for d, e in experts.items() for x in (F.lit(d), F.array(*map(F.lit, e)))])
 
     def kl_term(x, i):
-        t = F.when(i == F.col("domain_id"), F.lit(high_p)).otherwise(F.lit(low_p))
+        t = F.when(F.array_contains(own[F.col("domain_id")], i), F.lit(high_p)).otherwise(F.lit(low_p))
         return t * (F.log(t) - x)
 
     kl = A.array_sum(F.transform(lp, kl_term))

@@ -36,7 +36,7 @@ _RANGE = f"""
 , r0 AS (SELECT metric, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM pts GROUP BY metric),
 r1 AS (SELECT metric, CASE WHEN x0 = x1 THEN x0 - 1 ELSE x0 END AS min_x, CASE WHEN x0 = x1 THEN x1 + 1 ELSE x1 END AS max_x,
               CASE WHEN y0 = y1 THEN y0 - 1 ELSE y0 END AS y0, CASE WHEN y0 = y1 THEN y1 + 1 ELSE y1 END AS y1 FROM r0),
-rng AS (SELECT metric, min_x, max_x, y0 - (y1 - y0) * {MT.Y_PAD} AS min_y, y1 + (y1 - y0) * {MT.Y_PAD} AS max_y FROM r1)"""
+rng AS (SELECT metric, min_x, max_x, y0 - (y1 - y0) * 0.08 AS min_y, y1 + (y1 - y0) * 0.08 AS max_y FROM r1)"""
 
 
 def _points(spark, sf_dir):
@@ -82,8 +82,8 @@ def q_axis_range(spark, sf_dir):
 
 
 @register("q_axis_ticks", O.with_(O.F7) + _POINTS + _RANGE + f"""
-SELECT metric, CAST(t AS INTEGER) AS tick, round({MT.TOP} + t / 4.0 * {MT.PLOT_H}, 6) AS y_px,
-       round(max_y - t / 4.0 * (max_y - min_y), 6) AS y_value, round({MT.LEFT} + t / 4.0 * {MT.PLOT_W}, 6) AS x_px,
+SELECT metric, CAST(t AS INTEGER) AS tick, round(34 + t / 4.0 * 232, 6) AS y_px,
+       round(max_y - t / 4.0 * (max_y - min_y), 6) AS y_value, round(58 + t / 4.0 * 818, 6) AS x_px,
        round(min_x + t / 4.0 * (max_x - min_x), 6) AS x_value
 FROM rng, range(0, 5) tt(t)""")
 def q_axis_ticks(spark, sf_dir):
@@ -94,8 +94,8 @@ def q_axis_ticks(spark, sf_dir):
 
 @register("q_plot_points", O.with_(O.F7) + _POINTS + _RANGE + f"""
 SELECT p.metric, series, x, round(y, 6) AS y,
-       round({MT.LEFT} + (x - min_x) / (max_x - min_x) * {MT.PLOT_W}, 4) AS sx,
-       round({MT.TOP} + (max_y - y) / (max_y - min_y) * {MT.PLOT_H}, 4) AS sy
+       round(58 + (x - min_x) / (max_x - min_x) * 818, 4) AS sx,
+       round(34 + (max_y - y) / (max_y - min_y) * 232, 4) AS sy
 FROM pts p JOIN rng USING (metric)""")
 def q_plot_points(spark, sf_dir):
     """MET6: pixel coordinates of each point."""

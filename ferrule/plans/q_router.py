@@ -128,8 +128,8 @@ def q_specialization_loss(spark, sf_dir):
 
 @register("q_kl_guidance_loss", O.with_(O.f3()) + f"""
 , tok AS (SELECT layer, list_sum(list_transform(logits, lambda x, i:
-              (CASE WHEN i - 1 = domain_id THEN {1.0 - (E - 1) * R.LOW_P} ELSE {R.LOW_P} END) *
-              (ln(CASE WHEN i - 1 = domain_id THEN {1.0 - (E - 1) * R.LOW_P} ELSE {R.LOW_P} END) - (x - {_LSE})))) AS kl
+              (CASE WHEN i - 1 = domain_id THEN 0.998 ELSE 0.001 END) *
+              (ln(CASE WHEN i - 1 = domain_id THEN 0.998 ELSE 0.001 END) - (x - {_LSE})))) AS kl
           FROM f3 WHERE domain_id >= 0 AND domain_id < 3),
 per_layer AS (SELECT layer, sum(kl) / count(*) AS layer_kl FROM tok GROUP BY layer)
 SELECT round(coalesce(sum(layer_kl) FILTER (WHERE isfinite(layer_kl)), 0.0) / {FX.N_LAYERS}.0, 6) AS kl_guidance_loss,
@@ -140,6 +140,31 @@ def q_kl_guidance_loss(spark, sf_dir):
     return out.select(F.round("kl_guidance_loss", 6).alias("kl_guidance_loss"), "n_layers_used")
 
 
+@register("q_kl_guidance_shared", O.with_(O.f3()) + f"""
+, tok AS (SELECT layer, list_sum(list_transform(logits, lambda x, i:
+              (CASE WHEN i - 1 IN (domain_id, (domain_id + 1) % 3) THEN 0.4995 ELSE 0.001 END) *
+              (ln(CASE WHEN i - 1 IN (domain_id, (domain_id + 1) % 3) THEN 0.4995 ELSE 0.001 END) - (x - {_LSE})))) AS kl
+          FROM f3 WHERE domain_id >= 0 AND domain_id < 3),
+per_layer AS (SELECT layer, sum(kl) / count(*) AS layer_kl FROM tok GROUP BY layer)
+SELECT round(sum(layer_kl) / {FX.N_LAYERS}.0, 6) AS kl_guidance_loss, count(*) AS n_layers_used FROM per_layer""")
+def q_kl_guidance_shared(spark, sf_dir):
+    """RTR9: KL guidance loss where every domain has two experts, shared with its neighbours."""
+    experts = {d: [d, (d + 1) % E] for d in range(len(FX.DOMAINS))}
+    out = R.kl_guidance_loss(FX.router_logits(spark, sf_dir), E, len(FX.DOMAINS), FX.N_LAYERS, experts=experts)
+    return out.select(F.round("kl_guidance_loss", 6).alias("kl_guidance_loss"), "n_layers_used")
+
+
+@register("q_specialization_mean", O.with_(O.f3()) + _SPEC_SQL + """
+SELECT 'all' AS layers, round(avg(spec_loss), 6) AS spec_loss, count(*) AS n_layers FROM spec
+UNION ALL SELECT 'none', 0.0, 0""")
+def q_specialization_mean(spark, sf_dir):
+    """RTR8: the mean specialisation loss of all layers, and 0 where no layer is selected."""
+    rl = FX.router_logits(spark, sf_dir)
+    parts = [R.mean_specialization_loss(x).select(F.lit(name).alias("layers"), F.round("spec_loss", 6).alias("spec_loss"), "n_layers")
+             for name, x in (("all", rl), ("none", rl.where("layer < 0")))]
+    return parts[0].unionByName(parts[1])
+
+
 @register("q_token_routing", O.with_(O.f3()) + f"""
 SELECT {O.domain_name('CAST(block_id % 3 AS INTEGER)')} AS domain, 'block ' || CAST(block_id AS VARCHAR) AS sentence,
        pos AS token_index, replace(CAST(token AS VARCHAR), chr(288), ' ') AS token, {_AM} AS expert

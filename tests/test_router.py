@@ -105,3 +105,19 @@ def test_softmax_is_linear_in_the_expert_count(spark):
         assert abs(out.select(A.array_sum("p").alias("s")).first()["s"] - 1) < 1e-9
         df.unpersist()
     assert times[64] < 25 * times[4] + 0.5
+
+
+def test_losses_without_layers_are_zero_and_domains_may_share_experts(spark):
+    rows = [(0, 0, 0, 0, 1, [1.0, 2.0, 0.5]), (0, 0, 1, 1, 1, [0.0, 0.0, 3.0]), (0, 0, 2, -100, 0, [9.0, 0.0, 0.0])]
+    rl = _rl(spark, rows)
+    assert tuple(R.mean_specialization_loss(rl.where("layer > 5")).first()) == (0.0, 0)
+    assert R.mean_specialization_loss(rl).first()["spec_loss"] == R.specialization_loss(rl).first()["spec_loss"]
+    experts = {0: [0, 1], 1: [2, 0]}
+    got = R.kl_guidance_loss(rl, 3, 2, 1, experts=experts).first()["kl_guidance_loss"]
+    want = 0.0
+    for _, _, _, domain, _, z in rows[:2]:
+        total = math.log(sum(math.exp(x) for x in z))
+        for e, x in enumerate(z):
+            t = (1 - 0.001) / 2 if e in experts[domain] else 0.001
+            want += t * (math.log(t) - (x - total)) / 2
+    assert math.isclose(got, want, rel_tol=1e-9)
