@@ -10,7 +10,7 @@ conditional aggregates rather than an explode.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ferrule.functions import arrays as A
@@ -30,10 +30,11 @@ def with_expert(rl: DataFrame) -> DataFrame:
 
 def routing_counts(rl: DataFrame, layer: int, max_blocks: int | None = None) -> DataFrame:
     """Real-token counts per (domain_id, expert) at one layer (pads skipped)."""
-    cond = (F.col("layer") == layer) & (F.col("domain_id") >= 0)
-    if max_blocks is not None:
-        cond = cond & (F.col("block_id") < max_blocks)
-    x = with_expert(rl.where(cond))
+    rows = rl.where((F.col("layer") == layer) & (F.col("domain_id") >= 0))
+    if max_blocks is not None:      # the first blocks that there are, whatever their numbers; at most ``max_blocks`` rows to broadcast
+        first = rl.where(F.col("layer") == layer).select("block_id").distinct().orderBy("block_id").limit(max_blocks)
+        rows = rows.join(F.broadcast(first), "block_id", "left_semi")
+    x = with_expert(rows)
     return x.groupBy("domain_id", "expert").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -58,9 +59,10 @@ def routing_long(rl: DataFrame, layer: int, domains: DataFrame, n_experts: int,
                       pct.alias("pct"))
 
 
-def routing_matrix(rl: DataFrame, layer: int, domains: DataFrame, n_experts: int) -> DataFrame:
-    """RTR1: % of each domain's real tokens per expert, one column per expert (pivot with values)."""
-    long = routing_long(rl, layer, domains, n_experts)
+def routing_matrix(rl: DataFrame, layer: int, domains: DataFrame, n_experts: int,
+                   eps: float | None = None, max_blocks: int | None = None) -> DataFrame:
+    """RTR1: % of each domain's real tokens per expert, one column per expert (pivot with values); RTR4 with ``eps`` and ``max_blocks``."""
+    long = routing_long(rl, layer, domains, n_experts, eps, max_blocks)
     wide = long.groupBy("domain_id", "domain").pivot("expert", list(range(n_experts))).agg(F.first("pct"))
     return wide.select("domain_id", "domain", *[F.col(str(e)).alias(f"expert_{e}") for e in range(n_experts)])
 
@@ -174,6 +176,17 @@ def dominant_expert(rl: DataFrame, layer: int) -> DataFrame:
 
 # ------------------------------------------------------------------ losses --
 
+def next_token_nll(rows: DataFrame, block: str = "block_id", pos: str = "pos", token: str = "token", mask: str = "mask",
+                   logits: str = "logits", keep: tuple[str, ...] = ()) -> DataFrame:
+    """JOIN5/LOS1: loss of each position's next token, ``-log_softmax(logits)[next token]``, where that token is real (mask 1).
+
+    Positions are joined to the next one inside their block only, so a window holds one block.
+    """
+    w = Window.partitionBy(block).orderBy(pos)
+    ahead = rows.select(block, pos, token, mask, *keep, logits, F.lead(token).over(w).alias("__token"), F.lead(mask).over(w).alias("__mask"))
+    return ahead.where(F.col("__mask") == 1).select(block, pos, token, mask, *keep, A.nll_at(logits, F.col("__token")).alias("nll"))
+
+
 def block_sums(token_nll: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     """Per-block NLL sum and kept-token count (the unit a loader batches)."""
     return token_nll.groupBy("block_id", *extra).agg(F.sum("nll").alias("s"), F.count(F.lit(1)).alias("c"))

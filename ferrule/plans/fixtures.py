@@ -7,12 +7,13 @@ Texts are used whole: no prefixes, no row caps.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ferrule.functions import arrays as A
 from ferrule.functions import text as T
 from ferrule.operators import instruct as I
+from ferrule.operators import router as R
 from ferrule.sources.tables import read_table
 
 # --- fixed values: domain dimension ------------------------------------------
@@ -106,14 +107,7 @@ def token_nll(spark: SparkSession, sf_dir: str, after: bool = False) -> DataFram
     kept where the next position is real (mask 1). ``lead`` runs in windows of
     one block (16 rows), never over a large group.
     """
-    t = router_logits(spark, sf_dir, after, layers=(0, 0), with_label=True)
-    w = Window.partitionBy("block_id").orderBy("pos")
-    t = t.select("block_id", "pos", "token", "mask", "domain_id", "logits",
-                 F.lead("token").over(w).alias("next_token"),
-                 F.lead("mask").over(w).alias("next_mask"))
-    return t.where(F.col("next_mask") == 1).select(
-        "block_id", "pos", "token", "mask", "domain_id",
-        A.nll_at("logits", F.col("next_token")).alias("nll"))
+    return R.next_token_nll(router_logits(spark, sf_dir, after, layers=(0, 0), with_label=True), keep=("domain_id",))
 
 
 def domain_documents(spark: SparkSession, sf_dir: str, eos: str = T.EOS_TOKEN) -> DataFrame:

@@ -52,6 +52,20 @@ def q_routing_matrix(spark, sf_dir):
     return m.select("domain_id", "domain", *[F.round(f"expert_{e}", 6).alias(f"expert_{e}") for e in range(E)])
 
 
+@register("q_routing_matrix_notebook", O.with_(O.f3()) + f"""
+, first AS (SELECT DISTINCT block_id FROM f3 WHERE layer = {LAYER} AND block_id % 2 = 1 ORDER BY block_id LIMIT 200),
+cnt AS (SELECT domain_id, {_AM} AS expert, count(*) AS n FROM f3 SEMI JOIN first USING (block_id) WHERE layer = {LAYER} AND domain_id >= 0 GROUP BY ALL),
+tot AS (SELECT domain_id, sum(n) AS row_n FROM cnt GROUP BY domain_id),
+{_DOM}
+SELECT dom.domain_id, domain, {", ".join(f"round(coalesce(max(100.0 * n / (row_n + 0.000001)) FILTER (WHERE expert = {e}), 0), 6) AS expert_{e}" for e in range(E))}
+FROM dom LEFT JOIN cnt USING (domain_id) LEFT JOIN tot USING (domain_id) GROUP BY dom.domain_id, domain""")
+def q_routing_matrix_notebook(spark, sf_dir):
+    """RTR4: routing matrix over the first 200 of the odd blocks, with 1e-6 added to each domain's count."""
+    rl = FX.router_logits(spark, sf_dir, layers=(LAYER, LAYER)).where("block_id % 2 = 1")
+    m = R.routing_matrix(rl, LAYER, FX.domain_dim(spark), E, eps=1e-6, max_blocks=200)
+    return m.select("domain_id", "domain", *[F.round(f"expert_{e}", 6).alias(f"expert_{e}") for e in range(E)])
+
+
 @register("q_routing_matrix_long", O.with_(O.f3()) + _LONG_SQL + f"""
 SELECT domain_id, domain, expert, {_label_sql('expert')} AS expert_label, round(pct, 6) AS pct FROM long""")
 def q_routing_matrix_long(spark, sf_dir):

@@ -121,3 +121,19 @@ def test_losses_without_layers_are_zero_and_domains_may_share_experts(spark):
             t = (1 - 0.001) / 2 if e in experts[domain] else 0.001
             want += t * (math.log(t) - (x - total)) / 2
     assert math.isclose(got, want, rel_tol=1e-9)
+
+
+def test_next_token_loss_stays_in_its_block(spark):
+    rows = [(1, 0, 2, 1, [0.0, 1.0, 2.0]), (1, 1, 0, 1, [1.0, 1.0, 1.0]), (1, 2, 1, 0, [0.0, 0.0, 0.0]), (2, 0, 1, 1, [3.0, 0.0, 0.0]), (2, 1, 1, 1, [0.0, 0.0, 0.0])]
+    got = {(r["block_id"], r["pos"]): r["nll"] for r in R.next_token_nll(spark.createDataFrame(rows, "block_id long, pos int, token int, mask int, logits array<double>")).collect()}
+    loss = lambda z, k: math.log(sum(math.exp(x) for x in z)) - z[k]
+    assert set(got) == {(1, 0), (2, 0)}
+    assert math.isclose(got[1, 0], loss([0.0, 1.0, 2.0], 0)) and math.isclose(got[2, 0], loss([3.0, 0.0, 0.0], 1))
+    assert R.next_token_nll(spark.createDataFrame([], "block_id long, pos int, token int, mask int, logits array<double>")).count() == 0
+
+
+def test_first_blocks_go_by_rank(spark):
+    rows = [(0, b, 0, 0, 1, [1.0, 0.0, 0.0] if b < 100 else [0.0, 1.0, 0.0]) for b in (50, 70, 900, 901)]
+    dim = spark.createDataFrame([(0, "code")], "domain_id int, domain string")
+    got = R.routing_matrix(_rl(spark, rows), 0, dim, 3, eps=0.0, max_blocks=2).first()
+    assert (got["expert_0"], got["expert_1"]) == (100.0, 0.0)
