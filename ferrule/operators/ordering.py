@@ -101,15 +101,25 @@ def head_n(df: DataFrame, key: str, n: int) -> DataFrame:
     return df.orderBy(key).limit(n)
 
 
-def sample_per_group(df: DataFrame, group: str, key: str, n: int, seed: int = 100) -> DataFrame:
-    """SRC3: a seeded sample of ``n`` rows per group.
+def sample_per_group(df: DataFrame, group: str, key: str, n: int, seed: int = 100, bucket_chars: int = HASH_BUCKET_CHARS) -> DataFrame:
+    """SRC3: a seeded sample of ``n`` rows per group, or all of a smaller one, for any ``n``.
 
-    ``row_number() <= n`` becomes a WindowGroupLimit: each map task keeps at
-    most ``n`` rows per group before the shuffle, so a hot group costs n rows
-    per task, not its whole size.
+    Distributed selection: rows are counted by group and hash prefix; the prefix that holds a group's
+    n-th row lets through every row of the prefixes before it, and only its own rows are ranked. So no
+    task sorts more than one prefix of a group, and rows that aren't drawn never leave their scan.
+    Null groups form a group; raise ``bucket_chars`` with the data.
     """
-    w = Window.partitionBy(group).orderBy(seeded_hash(seed, key), F.col(key))
-    return df.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= n).drop("__rn")
+    at = seeded_hash(seed, key)
+    rows = df.withColumn("__at", at).withColumn("__b", hash_bucket(at, bucket_chars))
+    counts = rows.groupBy(F.col(group).alias("__group"), "__b").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy("__group").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    edge = counts.where((F.col("__before") < n) & (F.col("__before") + F.col("__n") >= n)).select(
+        "__group", F.col("__b").alias("__edge"), (F.lit(n) - F.col("__before")).alias("__room"))      # a row a group; none for smaller groups
+    drawn = rows.join(edge, F.col(group).eqNullSafe(F.col("__group")), "left").where(F.col("__edge").isNull() | (F.col("__b") <= F.col("__edge")))
+    place = F.row_number().over(Window.partitionBy(group, "__b").orderBy("__at", F.col(key)))
+    kept = drawn.withColumn("__place", place).where(F.col("__edge").isNull() | (F.col("__b") < F.col("__edge")) | (F.col("__place") <= F.col("__room")))
+    return kept.select(*df.columns) if n > 0 else df.limit(0)
 
 
 def sample_k(df: DataFrame, key: str, k: int, seed: int = 10) -> DataFrame:

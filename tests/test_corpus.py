@@ -117,3 +117,19 @@ def test_sample_per_group_caps_each_group(spark):
     df = spark.createDataFrame([(i, i % 2) for i in range(100)], "k long, g int")
     s = OR.sample_per_group(df, "g", "k", 7)
     assert {r["g"]: r["count"] for r in s.groupBy("g").count().collect()} == {0: 7, 1: 7}
+
+
+def test_sample_per_group_of_any_size_against_a_sort(spark):
+    import hashlib
+
+    rows = [(i, None if i % 11 == 0 else "hot" if i % 3 else f"g{i % 5}") for i in range(20_000)]
+    df = spark.createDataFrame(rows, "doc_id long, domain string").repartition(5)
+    for n in (0, 1, 7, 5000):
+        want = set()
+        for g in {g for _, g in rows}:
+            ids = sorted((i for i, x in rows if x == g), key=lambda i: (hashlib.md5(f"100:{i}".encode()).hexdigest(), i))
+            want |= {(i, g) for i in ids[:n]}
+        got = OR.sample_per_group(df, "domain", "doc_id", n)
+        assert got.columns == df.columns and {tuple(r) for r in got.collect()} == want
+    plan = OR.sample_per_group(df, "domain", "doc_id", 5000)._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
