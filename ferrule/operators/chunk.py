@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ferrule.functions import text as T
-from ferrule.operators.ordering import key_bucket, position
+from ferrule.operators.ordering import CUTS, position
 
 PAD_DOMAIN_ID = -100
 
@@ -75,18 +75,18 @@ def truncate(tokens, n: int, side: str = "right") -> Column:
     return F.when(F.size(t) > n, F.slice(t, -n, n)).otherwise(t)
 
 
-def pack(df: DataFrame, key: str, tokens: str, block_size: int, drop_tail: bool = True) -> DataFrame:
+def pack(df: DataFrame, key: str, tokens: str, block_size: int, drop_tail: bool = True,
+         cuts: int = CUTS) -> DataFrame:
     """GEN6: concatenate all documents in key order and cut into fixed blocks.
 
-    Each document's global token offset comes from ``position`` (bucketed
-    running sum, no single-task window). A document then emits one slice per
+    Each document's global token offset comes from ``position`` (running sums
+    over ``cuts`` ranges of the key, which may be of any orderable type). A document then emits one slice per
     block it overlaps; ``groupBy(block_id)`` reassembles at most
     ``block_size`` tokens per block, ordered by offset. Output:
     ``block_id, input_ids, doc_ids`` (the document of every token).
     """
     L = F.size(tokens)
-    ranked = position(df.select(key, tokens), F.col(key), key_bucket(F.col(key)),
-                      weight=L, offset_col="off", total_col=None)
+    ranked = position(df.select(key, tokens), F.col(key), weight=L, offset_col="off", cuts=cuts)
     first_b = F.floor(F.col("off") / block_size)
     last_b = F.floor((F.col("off") + F.size(tokens) - 1) / block_size)
     ex = ranked.where(F.size(tokens) > 0).select(

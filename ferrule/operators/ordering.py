@@ -5,12 +5,14 @@ global (or per-group) position never uses one unpartitioned window - that
 would funnel every row through one task. ``position`` ranks in two passes:
 
 1. ``count``/``sum`` per ``(group, bucket)``, where ``bucket`` is a coarse,
-   order-preserving prefix of the order key (a hash prefix, or ``key >> 12``
-   for unique integer keys - at most 4,096 rows per bucket);
+   order-preserving prefix of the order key: a hash prefix for md5 orders, or
+   for any other key (text, sparse or negative numbers, dates) its range between
+   up to 4,096 sampled cuts;
 2. a running sum over that small bucket table gives each bucket's offset;
 3. ``row_number`` inside ``(group, bucket)`` windows + the offset.
 
-The bucket table has (#groups x #buckets) rows; the join against it is left
+The bucket table has at most (#groups x #buckets) rows, with sampled cuts only
+#groups + #buckets; the join against it is left
 to AQE, which broadcasts it when its measured size is small and otherwise
 keeps a shuffle join. Random generators are replaced by md5 order of
 ``seed:key`` (identical in Spark and SQL engines).
@@ -23,7 +25,8 @@ from pyspark.sql import functions as F
 
 HASH_BUCKET_CHARS = 3      # default: 16^3 = 4,096 buckets for md5-ordered ranks; raise it with the data
 EXPAND = 4096              # repeats that one row is expanded into at a time
-KEY_BUCKET_SHIFT = 12      # unique integer keys: at most 4,096 rows per bucket
+CUTS = 4096                # default: ranges of any other order key; raise it with the data
+CUT_RUN = 64               # cuts that are searched at a time
 
 
 def seeded_hash(seed: int | str, *cols) -> Column:
@@ -36,17 +39,33 @@ def hash_bucket(hash_col: Column, chars: int = HASH_BUCKET_CHARS) -> Column:
     return F.substring(hash_col, 1, chars)
 
 
-def key_bucket(key_col: Column) -> Column:
-    return F.shiftright(key_col.cast("long"), KEY_BUCKET_SHIFT)
+def range_bucket(df: DataFrame, order: list[Column], name: str, cuts: int = CUTS) -> DataFrame:
+    """Add the number of the key range that a row falls in as column ``name``: non-decreasing in ``order``, for keys of any orderable type.
 
-
-def position(df: DataFrame, order: Column, bucket: Column, partition_by: tuple[str, ...] = (),
+    The ranges lie between ``cuts`` keys at most, drawn by the smallest hashes of the keys, so that every range holds
+    about as many rows, however sparse the keys are. The cuts are one bounded value (a scalar subquery, no
+    join), the same in every evaluation, and are searched in runs of ``CUT_RUN``. Nulls come first, in the first range.
+    Rows that share a key share a range.
+    """
+    key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)])
+    drawn = df.select(key.alias("c")).orderBy(F.xxhash64("c"), "c").limit(cuts)
+    every = drawn.agg(F.array_sort(F.collect_set("c")).alias("cs"))
+    runs = F.transform(F.expr(f"sequence(0, greatest(size(cs) - 1, 0) div {CUT_RUN})"), lambda i: F.slice("cs", (i * CUT_RUN + 1).cast("int"), CUT_RUN))
+    found = every.select(runs.alias("r")).select(F.struct("r", F.transform("r", lambda run: F.get(run, F.lit(0))).alias("heads")).alias("x")).scalar()
+    rows = df.withColumn("__cuts", found)
+    run = F.size(F.filter(F.col("__cuts")["heads"], lambda c: c <= key))
+    inside = F.size(F.filter(F.get(F.col("__cuts")["r"], run - 1), lambda c: c <= key))
+    return rows.withColumn(name, F.when(run > 0, (run - 1) * CUT_RUN + inside).otherwise(F.lit(0))).drop("__cuts")
+
+
+def position(df: DataFrame, order: Column, bucket: Column | None = None, partition_by: tuple[str, ...] = (),
              weight: Column | None = None, pos_col: str = "pos",
              offset_col: str | None = None, total_col: str | None = None,
-             max_total_col: str | None = None) -> DataFrame:
+             max_total_col: str | None = None, cuts: int = CUTS) -> DataFrame:
     """Add the 1-based rank of each row within ``partition_by`` by ``order``.
 
-    ``bucket`` must be non-decreasing in ``order``. With ``weight``, also adds
+    ``bucket`` must be non-decreasing in ``order``; without one, the rows are cut into about ``cuts`` ranges of group and
+    order key (``range_bucket``), so that large groups have many. With ``weight``, also adds
     ``offset_col`` = sum of the weights of all earlier rows (running sum);
     ``total_col`` = number of rows in the partition; ``max_total_col`` = the
     largest partition size (computed on the small bucket table). Rows with a
@@ -54,7 +73,8 @@ def position(df: DataFrame, order: Column, bucket: Column, partition_by: tuple[s
     """
     part = list(partition_by)
     w = weight if weight is not None else F.lit(0)
-    base = df.withColumn("__ord", order).withColumn("__bkt", bucket).withColumn("__w", w.cast("long"))
+    cut = range_bucket(df, [*[F.col(p) for p in part], order], "__bkt", cuts) if bucket is None else df.withColumn("__bkt", bucket)
+    base = cut.withColumn("__ord", order).withColumn("__w", w.cast("long"))
     counts = base.groupBy(*part, "__bkt").agg(F.count(F.lit(1)).alias("__n"), F.sum("__w").alias("__ws"))
     before = Window.partitionBy(*part).orderBy("__bkt").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*part)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ferrule.functions import arrays as A
 from ferrule.functions import mathfn as M
-from ferrule.operators.ordering import key_bucket, position
+from ferrule.operators.ordering import position
 
 IGNORE_INDEX = -100
 # --- fixed values: default expert -> domain names, guidance target floor -----
@@ -200,7 +200,7 @@ def batch_mean_loss(token_nll: DataFrame, batch_size: int, group: str | None = N
     """
     part = (group,) if group else ()
     b = block_sums(token_nll, part)
-    ranked = position(b, F.col("block_id"), key_bucket(F.col("block_id")), partition_by=part)
+    ranked = position(b, F.col("block_id"), partition_by=part)
     batched = ranked.withColumn("batch_id", F.floor((F.col("pos") - 1) / batch_size))
     per_batch = batched.groupBy(*part, "batch_id").agg((F.sum("s") / F.sum("c")).alias("m"),
                                                        F.sum("s").alias("s"), F.sum("c").alias("c"))

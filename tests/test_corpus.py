@@ -70,7 +70,7 @@ def test_position_equals_global_row_number(spark):
 
 def test_running_offset_by_key(spark):
     df = spark.createDataFrame([(i, i % 5) for i in range(10000)], "k long, w int")
-    out = OR.position(df, F.col("k"), OR.key_bucket(F.col("k")), weight=F.col("w"), offset_col="off")
+    out = OR.position(df, F.col("k"), weight=F.col("w"), offset_col="off")
     rows = out.orderBy("k").select("w", "off").collect()
     run = 0
     for r in rows:
@@ -133,3 +133,30 @@ def test_sample_per_group_of_any_size_against_a_sort(spark):
         assert got.columns == df.columns and {tuple(r) for r in got.collect()} == want
     plan = OR.sample_per_group(df, "domain", "doc_id", 5000)._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan
+
+
+def test_position_of_keys_of_any_type_against_a_sort(spark):
+    """Text, sparse, negative and null keys, a hot group, more and fewer cuts than rows: ranks and running sums of a plain sort."""
+    import random
+
+    rng = random.Random(5)
+    keys = [rng.randint(-2**62, 2**62) for _ in range(3000)] + [None]
+    rows = [(k, None if k is None else f"k{k % 977}-{k}", None if i % 13 == 0 else "hot" if i % 3 else f"g{i % 4}", i % 9) for i, k in enumerate(keys)]
+    df = spark.createDataFrame(rows, "n long, s string, g string, w int").repartition(7)
+    for col, part, cuts in (("n", (), 4096), ("s", (), 300), ("n", ("g",), 64), ("s", ("g",), 1)):
+        at = "ns".index(col)
+        got = OR.position(df, F.col(col), partition_by=part, weight=F.col("w"), offset_col="off", total_col="t", cuts=cuts)
+        seen = {}
+        for r in sorted(rows, key=lambda r: (r[at] is not None, r[at] if at == 0 else (r[at] or "").encode()) if r[at] is not None else (False, 0)):
+            group = seen.setdefault(r[2] if part else 0, [])
+            group.append((r[0], len(group) + 1, sum(x[3] for x in group), r[3]))
+        want = {(k, pos, off, len(g)) for g in seen.values() for k, pos, off, _ in g}
+        assert {(r["n"], r["pos"], r["off"], r["t"]) for r in got.collect()} == want
+    assert OR.position(df.limit(0), F.col("n")).count() == 0
+
+
+def test_ranges_of_sparse_keys_stay_few_and_even(spark):
+    """100,000 keys that are a million apart: the bucket table has as many rows as cuts, and no range is large."""
+    df = spark.range(100_000).select((F.col("id") * 1_000_003 - 5_000_000_000).alias("k"))
+    sizes = [r["count"] for r in OR.range_bucket(df, [F.col("k")], "b", 256).groupBy("b").count().collect()]
+    assert len(sizes) <= 257 and max(sizes) < 100_000 / 256 * 12

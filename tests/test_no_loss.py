@@ -17,7 +17,7 @@ def test_split_keeps_null_groups(spark):
     assert sorted((r["g"] or "", r["pos"], r["n"]) for r in ranked) == [("", 1, 2), ("", 2, 2), ("a", 1, 2), ("a", 2, 2)]
     nulls = spark.createDataFrame([(None, "a"), (5, "a"), (None, "a")], "k long, g string")
     assert sorted(r["pos"] for r in OR.hashed_position(nulls, 1, ["k"]).collect()) == [1, 2, 3]
-    assert sorted(r["pos"] for r in OR.position(nulls, F.col("k"), OR.key_bucket(F.col("k"))).collect()) == [1, 2, 3]
+    assert sorted(r["pos"] for r in OR.position(nulls, F.col("k")).collect()) == [1, 2, 3]
 
 
 def test_split_sides_agree_with_ranks(spark):
