@@ -111,6 +111,23 @@ def ngram_family(tok_col, max_n: int) -> list[Column]:
     return out
 
 
+# The public "13a" tokenization, in the order in which its steps apply.
+PLAIN_13A = [("<skipped>", ""), ("-\n", ""), ("\n", " "), ("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")]
+SPACED_13A = [(r"([\x20-\x26\x28-\x2B\x2F\x3A-\x40\x5B-\x60\x7B-\x7E])", " {0} "),    # marks other than ' , - .
+              (r"([^0-9])([.,])", "{0} {1} "), (r"([.,])([^0-9])", " {0} {1}"), ("([0-9])(-)", "{0} {1} ")]
+
+
+def spaced_13a(col) -> Column:
+    """A text with blanks between its "13a" tokens, so that splitting on white space gives them; null stays null."""
+    out = _c(col)
+    for old, new in PLAIN_13A:
+        out = F.replace(out, F.lit(old), F.lit(new))
+    out = F.concat(F.lit(" "), out, F.lit(" "))
+    for pattern, spaced in SPACED_13A:
+        out = F.regexp_replace(out, pattern, spaced.format("$1", "$2"))
+    return out
+
+
 def length_bucket(n) -> Column:
     c = _c(n)
     return (F.when(c <= SHORT_MAX_TOKENS, F.lit("short"))

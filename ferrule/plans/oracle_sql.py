@@ -156,6 +156,16 @@ grams AS (
   FROM roles, (SELECT CAST(unnest(range(1, {max_n + 1})) AS INTEGER) AS n) nn)"""
 
 
+def spaced_13a(col: str) -> str:
+    """Blanks between the tokens of the public "13a" tokenization."""
+    x = f"replace(replace(replace({col}, '<skipped>', ''), '-' || chr(10), ''), chr(10), ' ')"
+    x = f"replace(replace(replace(replace({x}, '&quot;', '\"'), '&amp;', '&'), '&lt;', '<'), '&gt;', '>')"
+    x = f"regexp_replace(' ' || {x} || ' ', '([{{-~[-` -&(-+:-@/])', ' \\1 ', 'g')"
+    x = f"regexp_replace({x}, '([^0-9])([.,])', '\\1 \\2 ', 'g')"
+    x = f"regexp_replace({x}, '([.,])([^0-9])', ' \\1 \\2', 'g')"
+    return f"regexp_replace({x}, '([0-9])(-)', '\\1 \\2 ', 'g')"
+
+
 def gleu_expr(max_n: int = 4) -> str:
     p = [f"(CASE WHEN num_{n} > 0 THEN num_{n} / den_{n} ELSE 1.0 / (2.0 * den_{n}) END)" for n in range(1, max_n + 1)]
     any_zero = " OR ".join(f"den_{n} = 0" for n in range(1, max_n + 1))
