@@ -60,10 +60,16 @@ def op9_rendezvous_sharding(spark, sf_dir):
 
 #: The line rules written out again for the oracle, from the rules' description.
 _NAV_WORDS = ("(home|menu|login|log in|sign in|sign up|register|next|previous|prev|back|read more|more|share|click here|skip to content|"
-              "back to top|search|contact us|about us|sitemap|print this page|follow us|tags?:.*|categories:.*|page [0-9]+ of [0-9]+)")
+              "back to top|search|contact us|about us|sitemap|print this page|follow us|tags?:.*|categories:.*|page [0-9]+ of [0-9]+|"
+              "startseite|men[üÜ]|anmelden|registrieren|weiter|zur[üÜ]ck|weiterlesen|mehr lesen|suche|kontakt|[üÜ]ber uns|impressum|nach oben|seite teilen|seite [0-9]+ von [0-9]+|"
+              "inicio|men[úÚ]|iniciar sesi[óÓ]n|reg[íÍ]strate|siguiente|anterior|leer m[áÁ]s|buscar|contacto|sobre nosotros|mapa del sitio|volver arriba|compartir|p[áÁ]gina [0-9]+ de [0-9]+|"
+              "accueil|connexion|se connecter|s.inscrire|suivant|pr[éÉ]c[éÉ]dent|lire la suite|rechercher|contactez-nous|[àÀ] propos|plan du site|haut de page|partager|page [0-9]+ sur [0-9]+)")
 _BOILERPLATE = ("(all rights reserved|licensed under|terms of (use|service)|privacy policy|cookie(s)? (policy|settings)|we use cookies|"
                 "copyright \\(c\\)|©|lorem ipsum|enable javascript|subscribe to our newsletter|unsubscribe|"
-                "provided .as is. without warranty|permission is hereby granted|redistribution and use in source)")
+                "provided .as is. without warranty|permission is hereby granted|redistribution and use in source|"
+                "alle rechte vorbehalten|datenschutzerkl[äÄ]rung|nutzungsbedingungen|wir verwenden cookies|cookie-einstellungen|javascript aktivieren|newsletter abonnieren|"
+                "todos los derechos reservados|pol[íÍ]tica de (privacidad|cookies)|t[éÉ]rminos de uso|utilizamos cookies|habilite javascript|suscr[íÍ]bete a nuestro|"
+                "tous droits r[éÉ]serv[éÉ]s|politique de (confidentialit[éÉ]|cookies)|conditions d.utilisation|nous utilisons des cookies|activez javascript|abonnez-vous [àÀ] notre)")
 
 
 @register("op1_line_rules", f"""

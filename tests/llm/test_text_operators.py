@@ -224,6 +224,21 @@ def test_quality_line_rules(make_docs):
     assert rows[4]["n_dup_lines"] == 1 and rows[4]["base_failed"]
 
 
+def test_quality_line_rules_of_four_languages(make_docs):
+    """Menus and notices go in each language; prose that holds their words among others stays."""
+    menus = {"en": ["Back to top", "Page 2 of 9"], "de": ["Zurück", "ÜBER UNS", "Seite 2 von 9"], "es": ["Leer más", "MENÚ", "Página 2 de 9"],
+             "fr": ["Précédent", "À propos", "S’inscrire", "Page 2 sur 9"]}
+    notices = {"en": ["We use cookies."], "de": ["Alle Rechte vorbehalten.", "Unsere Datenschutzerklärung"], "es": ["Todos los derechos reservados", "Política de privacidad"],
+               "fr": ["Tous droits réservés.", "Les conditions d’utilisation"]}
+    prose = {"en": "They went back to the top of the hill.", "de": "Sie gingen weiter und dann zurück über den Fluss.",
+             "es": "El inicio del camino queda más arriba.", "fr": "La page suivante parle de cet accueil."}
+    lines = {lang: "\n".join([" ".join(f"{lang}{i}" for i in range(80)) + ".", prose[lang], *menus[lang], *notices[lang]]) for lang in menus}
+    rows = sorted(quality_rules.quality_rules(make_docs(list(lines.values()))).collect(), key=lambda r: r["doc_id"])
+    for lang, row in zip(lines, rows, strict=True):
+        assert row["kept"] and (row["n_navigation"], row["n_boilerplate"]) == (len(menus[lang]), len(notices[lang])), lang
+        assert row["clean_text"].split("\n")[1:] == [prose[lang]]
+
+
 def test_quality_plan_is_native(make_docs):
     plan = quality_rules.quality_rules(make_docs(["a b c"]))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Exchange", plan)
