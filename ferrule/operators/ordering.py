@@ -155,16 +155,16 @@ def hash_split(df: DataFrame, key: str, fraction: float, seed: int = 42,
 
 
 def document_split(df: DataFrame, group: str, key: str, val_fraction: float = 0.1, seed: int = 100,
-                   names: tuple[str, str] = ("train", "val")) -> DataFrame:
+                   names: tuple[str, str] = ("train", "val"), bucket_chars: int = HASH_BUCKET_CHARS) -> DataFrame:
     """ORD3: leak-free split of documents, independently per group.
 
     Seeded order per group; ``n_val = max(1, round_half_even(n * f))`` first documents go to
     validation. Only (group, key) is ranked; the rank gives one cut-off hash per group, and the
     documents are then decided row by row against it, so texts aren't ranked or shuffled by rank.
-    Null groups form a group of their own; rows repeated in the key fall on one side.
+    Null groups form a group of their own; rows repeated in the key fall on one side. Raise ``bucket_chars`` with the data.
     """
     keys = df.select(F.col(group).alias("__group"), F.col(key).alias("__key"))
-    ranked = position(keys, seeded_order(seed, ["__group", "__key"]), hash_bucket(seeded_hash(seed, "__group", "__key")),
+    ranked = position(keys, seeded_order(seed, ["__group", "__key"]), hash_bucket(seeded_hash(seed, "__group", "__key"), bucket_chars),
                       ("__group",), total_col="__cnt")
     n_val = F.greatest(F.lit(1), F.bround(F.col("__cnt") * F.lit(float(val_fraction)), 0).cast("long"))
     cut = ranked.where(F.col("pos") == n_val).select("__group", seeded_order(seed, ["__group", "__key"]).alias("__cut"))
@@ -174,13 +174,14 @@ def document_split(df: DataFrame, group: str, key: str, val_fraction: float = 0.
         .drop("__group", "__cut")
 
 
-def exact_split(df: DataFrame, unit: str | list[str], test_count: int, seed: int = 42, names: tuple[str, str] = ("train", "test")) -> DataFrame:
+def exact_split(df: DataFrame, unit: str | list[str], test_count: int, seed: int = 42, names: tuple[str, str] = ("train", "test"),
+                bucket_chars: int = HASH_BUCKET_CHARS) -> DataFrame:
     """ORD2 with exact counts: the first ``test_count`` units in seeded order are the test side.
 
     ``unit`` is the key of what is split: a row's key, or a block's (document, block index).
     """
     cols = [unit] if isinstance(unit, str) else list(unit)
-    ranked = hashed_position(df, seed, cols)
+    ranked = hashed_position(df, seed, cols, bucket_chars=bucket_chars)
     return ranked.withColumn("split", F.when(F.col("pos") <= test_count, F.lit(names[1])).otherwise(F.lit(names[0]))).drop("pos")
 
 
@@ -205,13 +206,13 @@ def step_schedule(batch_ids: DataFrame, n_batches_col: str, total_steps: int) ->
     return batch_ids.select("batch_id", F.explode(steps).alias("step"))
 
 
-def interleave(df: DataFrame, group: str, key: str, seed: int = 100) -> DataFrame:
+def interleave(df: DataFrame, group: str, key: str, seed: int = 100, bucket_chars: int = HASH_BUCKET_CHARS) -> DataFrame:
     """ORD7: round-robin over groups until every group is exhausted (short groups repeat).
 
     A row at 0-based position p of a group with c rows appears in rounds
     p, p + c, p + 2c, ... < max group size. Output ``(round, group, key)``.
     """
-    ranked = hashed_position(df, seed, [key], partition_by=(group,), total_col="__cnt", max_total_col="__m")
+    ranked = hashed_position(df, seed, [key], partition_by=(group,), bucket_chars=bucket_chars, total_col="__cnt", max_total_col="__m")
     # Two steps: spans of up to EXPAND repeats, then the repeats of a span, so no array grows with the larger group.
     span = F.col("__cnt") * EXPAND
     starts = F.sequence(F.col("pos") - 1, F.col("__m") - 1, span)

@@ -160,3 +160,11 @@ def test_ranges_of_sparse_keys_stay_few_and_even(spark):
     df = spark.range(100_000).select((F.col("id") * 1_000_003 - 5_000_000_000).alias("k"))
     sizes = [r["count"] for r in OR.range_bucket(df, [F.col("k")], "b", 256).groupBy("b").count().collect()]
     assert len(sizes) <= 257 and max(sizes) < 100_000 / 256 * 12
+
+
+def test_splits_do_not_depend_on_the_number_of_hash_buckets(spark):
+    df = spark.createDataFrame([(i, "ab"[i % 3 == 0]) for i in range(300)], "k long, g string")
+    for run in (lambda n: OR.document_split(df, "g", "k", 0.2, bucket_chars=n), lambda n: OR.exact_split(df, "k", 41, bucket_chars=n),
+                lambda n: OR.interleave(df, "g", "k", bucket_chars=n)):
+        few, many = (sorted(map(tuple, run(n).collect())) for n in (1, 5))
+        assert few == many and few
