@@ -168,8 +168,8 @@ def document_split(df: DataFrame, group: str, key: str, val_fraction: float = 0.
                       ("__group",), total_col="__cnt")
     n_val = F.greatest(F.lit(1), F.bround(F.col("__cnt") * F.lit(float(val_fraction)), 0).cast("long"))
     cut = ranked.where(F.col("pos") == n_val).select("__group", seeded_order(seed, ["__group", "__key"]).alias("__cut"))
-    # one row per group: broadcast when AQE measures it small, otherwise a shuffle join
-    out = df.join(cut, F.col(group).eqNullSafe(F.col("__group")), "left")
+    # one row per group; without the hint, all texts could be shuffled by group, a whole group to one task
+    out = df.join(F.broadcast(cut), F.col(group).eqNullSafe(F.col("__group")), "left")
     return out.withColumn("split", F.when(seeded_order(seed, [group, key]) <= F.col("__cut"), F.lit(names[1])).otherwise(F.lit(names[0]))) \
         .drop("__group", "__cut")
 

@@ -168,3 +168,12 @@ def test_splits_do_not_depend_on_the_number_of_hash_buckets(spark):
                 lambda n: OR.interleave(df, "g", "k", bucket_chars=n)):
         few, many = (sorted(map(tuple, run(n).collect())) for n in (1, 5))
         assert few == many and few
+
+
+def test_split_documents_are_not_shuffled_by_group(spark):
+    """A few groups hold all texts, so a shuffle by group would send a third of them to one task."""
+    docs = spark.createDataFrame([(i, ["a", "b", None][i % 3], ["w"] * 5) for i in range(60)], "doc_id long, domain string, tokens array<string>")
+    split = OR.document_split(docs, "domain", "doc_id", 0.1, 100)
+    plan = split._jdf.queryExecution().optimizedPlan().toString()
+    assert "rightHint=(strategy=broadcast)" in plan
+    assert split.where("split = 'val'").groupBy("domain").count().select("count").collect() == [(2,)] * 3
