@@ -18,14 +18,19 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ferrule.functions.udf_support import ship_by_value
+from ferrule.functions.udf_support import few_bytes, ship_by_value
 
 ship_by_value(__name__)
 
+ARROW = {T.StringType: pa.string(), T.LongType: pa.int64(), T.IntegerType: pa.int32(), T.DoubleType: pa.float64(), T.FloatType: pa.float32(),
+         T.BooleanType: pa.bool_(), T.BinaryType: pa.binary()}
+PLAIN = tuple(ARROW)
+
 
 def tokenizer_udf(factory: Callable[[], Callable[[str], list[int]]]) -> Callable[[Column], Column]:
     """UDF1: wrap a tokenizer factory; the tokenizer is built once per worker process."""
@@ -52,11 +57,27 @@ def generate_candidates(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame
 
 
 def map_batches(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str | T.StructType) -> DataFrame:
-    """UDF3: batched row mapper (user code on pandas batches)."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield fn(b)
-    return df.mapInPandas(run, schema)
+    """UDF3: batched row mapper (user code on pandas batches).
+
+    Rows of plain types come as runs of ``FEW_BYTES`` of an Arrow batch, so that a worker never holds a whole batch of long
+    texts as Python strings; times and nested values take Spark's own conversion of whole batches.
+    """
+    target = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    if not all(isinstance(f.dataType, PLAIN) for f in [*df.schema.fields, *target.fields]):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                yield fn(b)
+        return df.mapInPandas(run, schema)
+    names = [f.name for f in target.fields]
+    out_types = pa.schema([(f.name, ARROW[type(f.dataType)]) for f in target.fields])
+
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in few_bytes(batches):
+            out = fn(part.to_pandas())
+            if all(isinstance(c, str) for c in out.columns):
+                out = out[names]
+            yield pa.RecordBatch.from_arrays([pa.array(out.iloc[:, i], type=t, from_pandas=True) for i, t in enumerate(out_types.types)], schema=out_types)
+    return df.mapInArrow(slices, target)
 
 
 def corrupt_words(batch: pd.DataFrame, key: str = "pair_id", text: str = "source", every: int = 3,

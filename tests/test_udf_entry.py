@@ -50,3 +50,28 @@ def test_flagship_values_at_smallest_scale(spark):
     r = E.queries()["q_gleu_corpus"](spark, SF_SMALL).first()
     assert r["cand_len"] == r["ref_len"] and r["den_1"] == r["cand_len"]
     assert F is not None
+
+
+def test_batches_of_long_texts_are_mapped_a_few_megabytes_at_a_time(spark):
+    from ferrule.functions.udf_support import FEW_BYTES
+
+    df = spark.range(24).select("id", F.when(F.col("id") > 0, F.repeat(F.lit("x "), 500_000)).alias("t")).coalesce(1)
+    out = U.map_batches(df, lambda b: pd.DataFrame({"size": [int(b["t"].str.len().sum())], "rows": [len(b)], "nulls": [int(b["t"].isna().sum())]}),
+                        "size long, rows long, nulls long").collect()
+    assert sum(r["rows"] for r in out) == 24 and sum(r["size"] for r in out) == 23_000_000 and sum(r["nulls"] for r in out) == 1
+    assert max(r["size"] for r in out) <= FEW_BYTES
+    assert U.map_batches(df.limit(0), lambda b: b[["id"]], "id long").count() == 0
+
+
+def test_edit_distances_hold_few_texts_at_a_time(monkeypatch):
+    import pyarrow as pa
+
+    from ferrule.functions import edit
+
+    held, costs = [], edit.edit_costs
+    monkeypatch.setattr(edit, "AT_ONCE", 10_000)
+    monkeypatch.setattr(edit, "edit_costs", lambda pairs: held.append(sum(len(t) for p in pairs for t in p)) or costs(pairs))
+    texts = ["ab" * 500, None, "", *["abc" * 700] * 40, "b" * 30_000]
+    got = edit._edit_distances_batch(pa.array(texts), pa.array(["ab" * 500] * len(texts)), pa.array(texts[::-1]))
+    want = [[None if a is None or b is None else edit.levenshtein_bits(a, b) for b in ("ab" * 500, other)] for a, other in zip(texts, texts[::-1])]
+    assert got.to_pylist() == want and len(held) > 5
