@@ -1,6 +1,7 @@
 """Quality rules, sharding, packing, BPE and secrets against brute force and on edge cases."""
 
 import hashlib
+import itertools
 import re
 import zlib
 
@@ -239,6 +240,21 @@ def test_quality_line_rules_of_four_languages(make_docs):
         assert row["clean_text"].split("\n")[1:] == [prose[lang]]
 
 
+def test_every_notice_holds_a_part_that_is_looked_for(make_docs):
+    """Every choice of the notices' pattern, spelled out, in capitals: found in texts that are first searched for its part."""
+    choices = re.split(r"\|(?![^()]*\)(?!$))", quality_rules.BOILERPLATE.removeprefix("(?i)(").removesuffix(")"))
+    spelled = []
+    for choice in choices:
+        tokens = re.findall(r"\\[()]|\((?:[^()]*)\)\??|\[[^]]*\]|.", choice)
+        spelled += ["".join(x) for x in itertools.product(*(
+            [t[1]] if t[0] == "\\" else [*t.strip("()?").split("|"), *([""] if t[-1] == "?" else [])] if t[0] == "(" else t[1:-1] if t[0] == "[" else ["'" if t == "." else t]
+            for t in tokens))]
+    assert len(choices) == 34 and all(re.search(quality_rules.BOILERPLATE, x) for x in spelled)
+    assert all(any(part in x.lower() for part in quality_rules.NOTICE_PARTS) for x in spelled)
+    texts = [f"first line.\n{re.sub('[a-z]+', lambda m: m[0].upper(), x)}" for x in spelled]
+    assert [(r["n_boilerplate"], r["clean_text"]) for r in quality_rules.quality_rules(make_docs(texts)).collect()] == [(1, "first line.")] * len(texts)
+
+
 def test_quality_plan_is_native(make_docs):
     plan = quality_rules.quality_rules(make_docs(["a b c"]))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Exchange", plan)
