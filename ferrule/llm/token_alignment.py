@@ -22,9 +22,8 @@ import hashlib
 import json
 import uuid
 from bisect import bisect_left
-from collections import Counter
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -85,8 +84,13 @@ class Pair:
         self.width = len(ids)
         names = [self.second.id_to_piece(i) for i in ids]
         self.second_bytes = [bytes([int(p[3:5], 16)]) if self.second.is_byte(i) else p.replace(BLANK, " ").encode() for i, p in enumerate(names)]
-        self.first_sizes = {i: len(x) for i, x in self.first_bytes.items()}.__getitem__
-        self.second_sizes = [len(x) for x in self.second_bytes].__getitem__
+        self.first_sizes = np.zeros(max(self.first_bytes) + 1, dtype=np.int64)
+        for i, x in self.first_bytes.items():
+            self.first_sizes[i] = len(x)
+        self.second_sizes = np.array([len(x) for x in self.second_bytes], dtype=np.int64)
+        #: Every id in decimal, filled up with zero bytes.
+        decimal = [str(i).encode() for i in range(max(len(self.first_sizes), self.width))]
+        self.digits = np.array(decimal).view(np.uint8).reshape(len(decimal), -1)
         #: The word pattern of the first puts a blank behind no other character but white space; pieces are looked through.
         self.cuts = not any(BLANK in p.lstrip(BLANK) for p in names)
         self.lone_blank = self.second.encode("a ")[len(self.second.encode("a")):]
@@ -106,39 +110,68 @@ class Pair:
         plain[wide] = ~np.isin(pair, WIDE_SPACE) & ~np.isin(text[at[wide] - 3].astype(np.int64) << 16 | pair, WIDE_SPACE)
         return np.union1d(start, at[plain])
 
-    def align(self, part: bytes, a: list[int], b: list[int], keys: list[int], times: list[int]) -> tuple[int, int, int, int, bytes] | None:
-        """``tokens of each, groups, links, groups as text`` of one part; None if the bytes differ.
+    def align(self, parts: list[bytes], a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray) -> tuple:
+        """Different parts with their tokens end to end, aligned side by side.
 
-        Linked pairs are appended to ``keys``, with their number to ``times``; a pair may come several times.
+        ``numbers`` of each part (tokens of each, groups, links; zeros if the bytes differ), ``told`` (its groups as text),
+        and the linked pairs end to end: how many each part has, the pairs, their number. A pair may come several times in a part.
         """
-        first_ends, second_ends = list(accumulate(map(self.first_sizes, a))), list(accumulate(map(self.second_sizes, b)))
-        if first_ends[-1] != len(part) or b"".join(map(self.second_bytes.__getitem__, b)) != part:     # the first's tokens are the bytes themselves
-            return None
-        width, n = self.width, len(a)
-        if first_ends == second_ends:
-            keys += [x * width + y for x, y in zip(a, b, strict=True)]
-            times += [1] * n
-            return n, n, n, n, ";".join([f"{x}|{y}" for x, y in zip(a, b, strict=True)]).encode()
-        told, links = [], 0
-        found = groups_of(first_ends, second_ends)
-        for al, ah, bl, bh in found:
-            cells = (ah - al) * (bh - bl)
-            links += cells
-            if cells == 1:
-                keys.append(a[al] * width + b[bl])
-                told.append(f"{a[al]}|{b[bl]}")
-                times.append(1)
-                continue
-            told.append(",".join(map(str, a[al:ah])) + "|" + ",".join(map(str, b[bl:bh])))
-            if cells <= 64:
-                keys += [x * width + y for x in a[al:ah] for y in b[bl:bh]]
-                times += [1] * cells
-            else:
-                right = Counter(b[bl:bh])
-                for x, i in Counter(a[al:ah]).items():
-                    keys += [x * width + y for y in right]
-                    times += [i * j for j in right.values()]
-        return n, len(b), len(found), links, ";".join(told).encode()
+        size = np.array([len(p) for p in parts], dtype=np.int64)
+        of_a, of_b = np.repeat(np.arange(len(parts)), n_a), np.repeat(np.arange(len(parts)), n_b)
+        size_a, size_b = self.first_sizes[a], self.second_sizes[b]
+        # The first's tokens are the bytes themselves; the second's are compared where they are as many.
+        good = (np.bincount(of_a, size_a, len(parts)) == size) & (np.bincount(of_b, size_b, len(parts)) == size)
+        left = np.frombuffer(b"".join([p for p, g in zip(parts, good.tolist(), strict=True) if g]), dtype=np.uint8)
+        right = np.frombuffer(b"".join(map(self.second_bytes.__getitem__, b[good[of_b]].tolist())), dtype=np.uint8)
+        if (differ := left != right).any():
+            good[np.repeat(np.flatnonzero(good), size[good])[differ]] = False
+        use_a, use_b = good[of_a], good[of_b]
+        a, b, of_a, of_b = a[use_a], b[use_b], of_a[use_a], of_b[use_b]
+        first_ends, second_ends = np.cumsum(size_a[use_a]), np.cumsum(size_b[use_b])
+        # Every part ends at a shared cut. Where all tokens end alike, each is a group; the other parts are searched together.
+        like = (n_a == n_b) & good
+        twin_a, twin_b = np.flatnonzero(like[of_a]), np.flatnonzero(like[of_b])
+        like[of_a[twin_a[first_ends[twin_a] != second_ends[twin_b]]]] = False
+        last_a, last_b = like[of_a], like[of_b]
+        rest_a, rest_b = np.flatnonzero(~last_a), np.flatnonzero(~last_b)
+        found = np.array(groups_of(first_ends[rest_a].tolist(), second_ends[rest_b].tolist()), dtype=np.int64).reshape(-1, 4)
+        last_a[rest_a[found[:, 1] - 1]] = last_b[rest_b[found[:, 3] - 1]] = True
+        ah, bh = np.flatnonzero(last_a) + 1, np.flatnonzero(last_b) + 1
+        al, bl = np.concatenate([[0], ah[:-1]])[:len(ah)], np.concatenate([[0], bh[:-1]])[:len(bh)]
+        wide_a, wide_b = ah - al, bh - bl
+        cells, whose = wide_a * wide_b, of_a[ah - 1]
+        sums = lambda x: np.bincount(whose, x, len(parts)).astype(np.int64)
+        links = np.zeros(len(parts), dtype=np.int64)
+        np.add.at(links, whose, cells)
+        numbers = np.stack([sums(wide_a), sums(wide_b), np.bincount(whose, minlength=len(parts)), links], axis=1)
+
+        few = cells <= 64
+        many = np.where(few, cells, 0)
+        place = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+        across = np.repeat(wide_b, many)
+        keys = a[np.repeat(al, many) + place // across] * self.width + b[np.repeat(bl, many) + place % across]
+        times, owner = np.ones(len(keys), dtype=np.int64), np.repeat(whose, many)
+        if not few.all():
+            more = [(keys, times, owner)]
+            for g in np.flatnonzero(~few).tolist():
+                (x, i), (y, j) = (np.unique(v, return_counts=True) for v in (a[al[g]:ah[g]], b[bl[g]:bh[g]]))
+                more.append(((x[:, None] * self.width + y).ravel(), (i[:, None] * j).ravel(), np.full(len(x) * len(y), whose[g])))
+            keys, times, owner = (np.concatenate(x) for x in zip(*more, strict=True))
+            order = np.argsort(owner, kind="stable")
+            keys, times, owner = keys[order], times[order], owner[order]
+
+        # The text: each group's tokens of the first, then of the second; a token's digits, and the sign behind it.
+        at_a = np.arange(len(a)) + np.repeat(bl, wide_a)
+        at_b = np.arange(len(b)) + np.repeat(ah, wide_b)
+        ids, sign = np.empty(len(a) + len(b), dtype=np.int64), np.full(len(a) + len(b), ord(","), dtype=np.uint8)
+        ids[at_a], ids[at_b] = a, b
+        sign[at_a[last_a]], sign[at_b[last_b]] = ord("|"), ord(";")
+        shown = np.concatenate([self.digits[ids], sign[:, None]], axis=1)
+        line = np.concatenate([[0], np.cumsum((shown != 0).sum(axis=1))])
+        stop = line[np.cumsum(numbers[:, 0] + numbers[:, 1])].tolist()
+        text = shown[shown != 0].tobytes()
+        told = [text[lo:hi - 1] if hi > lo else b"" for lo, hi in zip([0, *stop[:-1]], stop, strict=True)]
+        return numbers, told, np.bincount(owner, minlength=len(parts)), keys, times
 
     def places(self, parts: list[bytes]) -> np.ndarray:
         """Where the alignments of different parts are held; those that aren't yet are encoded together."""
@@ -150,19 +183,15 @@ class Pair:
             texts = [p.decode() for p in some]
             words = [self.first.split(t) for t in texts]
             ids = self.first_ids.learn(set().union(*words))
-            second = self.second.encode([t[1:] for t in texts], num_threads=1)
-            numbers, sizes, keys, times = [], [], [], []
-            for part, split, b in zip(some, words, second, strict=True):
-                before = len(keys)
-                got = self.align(part, memoryview(b"".join([ids[w] for w in split])).cast("I").tolist(), b if len(part) > 1 else self.lone_blank, keys, times)
-                self.index[part] = len(self.told)
-                self.told.append(got[4] if got else b"")
-                numbers.append(got[:4] if got else (0, 0, 0, 0))
-                sizes.append(len(keys) - before)
-            self.numbers = np.concatenate([self.numbers, np.array(numbers, dtype=np.int64)])
-            self.sizes = np.concatenate([self.sizes, np.array(sizes, dtype=np.int64)])
-            self.keys = np.concatenate([self.keys, np.array(keys, dtype=np.int64)])
-            self.times = np.concatenate([self.times, np.array(times, dtype=np.int64)])
+            first = [b"".join([ids[w] for w in split]) for split in words]
+            second = [b if len(p) > 1 else self.lone_blank for p, b in zip(some, self.second.encode([t[1:] for t in texts], num_threads=1), strict=True)]
+            sizes = np.array([len(x) for x in second], dtype=np.int64)
+            got = self.align(some, np.frombuffer(b"".join(first), dtype="<u4").astype(np.int64), np.array([len(x) for x in first], dtype=np.int64) // 4,
+                             np.fromiter(chain.from_iterable(second), np.int64, int(sizes.sum())), sizes)
+            self.index.update(zip(some, range(len(self.told), len(self.told) + len(some)), strict=True))
+            self.told += got[1]
+            self.numbers = np.concatenate([self.numbers, got[0]])
+            self.sizes, self.keys, self.times = (np.concatenate(x) for x in zip((self.sizes, self.keys, self.times), got[2:], strict=True))
         return np.fromiter(map(self.index.__getitem__, parts), np.int64, len(parts))
 
     def forget(self) -> None:

@@ -100,6 +100,28 @@ def test_parts_give_what_whole_texts_give(libraries, texts):
 HELD = {}
 
 
+def test_different_parts_are_aligned_in_one_call(libraries):
+    """Odd parts among plain ones: bytes that differ, equal ends, a group of many tokens; each as it is alone."""
+    import numpy as np
+
+    tools = token_alignment.Pair(open(A_FILE).read(), open(B_FILE, "rb").read())
+    parts = [" the", " ﬁ", " unthinkably", " " + "ab" * 300 + "9" * 200, " ½", " 中文字", " the house"]
+    first, second = libraries
+    a = [first.encode(t, add_special_tokens=False).ids for t in parts]
+    b = [second.encode(t[1:]) for t in parts]
+    a[5], b[5] = [a[5][0]] * 12 + a[5], b[5]        # more bytes than the part
+    flat = lambda x: (np.array([i for y in x for i in y], dtype=np.int64), np.array([len(y) for y in x]))
+    numbers, told, sizes, keys, times = tools.align([t.encode() for t in parts], *flat(a), *flat(b))
+    want = brute([t[1:] for t in parts[:5]] + [None] + ["the house"], libraries)
+    assert [tuple(n) for n in numbers.tolist()] == [w[:4] for w in want] and len(told) == len(parts)
+    assert [hashlib.sha256(t).hexdigest() if t else "" for t in told] == [w[6] for w in want]
+    at = np.cumsum(sizes) - sizes
+    assert [int(times[lo:lo + n].sum()) for lo, n in zip(at, sizes, strict=True)] == [w[3] for w in want]
+    alone = [tools.align([t.encode()], *flat([x]), *flat([y])) for t, x, y in zip(parts, a, b, strict=True)]
+    links = lambda k, t: sum((Counter({int(i): int(j)}) for i, j in zip(k, t, strict=True)), Counter())
+    assert [links(keys[lo:lo + n], times[lo:lo + n]) for lo, n in zip(at, sizes, strict=True)] == [links(*x[3:]) for x in alone]
+
+
 @given(st.sets(st.integers(1, 60)), st.sets(st.integers(1, 60)))
 def test_groups_against_set_intersection(a, b):
     a, b = sorted(a | {61}), sorted(b | {61})
