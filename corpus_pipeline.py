@@ -22,9 +22,10 @@ def reject_toxic(spark, docs, sf_dir):
 
 
 def keep_identified(spark, docs, sf_dir):
-    """Documents without a letter that the labelled documents hold go; without labels none goes."""
+    """Documents without a letter that the labelled documents hold go; ``lang`` of the others is the language identified
+    where it was null or clearly wrong. Without labels all stay as they are."""
     model = langid.learn(docs.where(crc_fold("doc_id", 4) != 2))
-    return langid.keep_identified(docs, model)
+    return langid.keep_identified(docs, model, lang="lang")
 
 
 def drop_near_duplicates(spark, docs, sf_dir):
@@ -38,8 +39,8 @@ def redact_secrets(spark, docs, sf_dir):
 
 
 def pack(spark, docs, sf_dir):
-    """Token sequences of at most 2048 tokens."""
-    return packing.pack(docs, TOKENIZER)
+    """Token sequences of at most 2048 tokens, each of one identified language."""
+    return packing.pack(docs, TOKENIZER, by="lang")
 
 
 STAGES = [("toxicity", reject_toxic), ("language_id", keep_identified), ("simhash_dedup", drop_near_duplicates),

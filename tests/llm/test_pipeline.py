@@ -68,3 +68,39 @@ def test_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in queries if n.startswith("op")) == list(range(1, 14))
     assert [s for s, _ in corpus_pipeline.STAGES] == ["toxicity", "language_id", "simhash_dedup", "secret_scan", "packing"]
     assert packing.pack
+
+
+def test_the_identified_language_reaches_the_sequences(spark, make_docs):
+    """Null and clearly wrong labels become the identified language, ties and other labels stay, and no sequence mixes languages."""
+    rng = np.random.default_rng(3)
+    words = {lang: ["".join(rng.choice(list(alphabet), 5)) for _ in range(60)] for lang, alphabet in (("aa", "abcdefg"), ("bb", "hijklmn"))}
+
+    def text(lang):
+        return " ".join(rng.choice(words[lang], 40))
+
+    truth = {i: "aa" if i % 3 else "bb" for i in range(90)}
+    rows = [(i, text(lang), {7: None, 9: None, 11: "bb", 15: "aa", 20: "unlearned"}.get(i, lang), "s", 1) for i, lang in truth.items()]
+    rows += [(100, "12 !", "aa", "s", 1), (101, "a h", "bb", "s", 1), (102, "a h", "aa", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    stages = dict(corpus_pipeline.STAGES)
+    model = langid.learn(docs.where("lang in ('aa', 'bb') and doc_id not in (11, 15)").where("doc_id < 100"))
+    known = langid.keep_identified(docs, model, lang="lang").collect()
+    want = {**truth, 20: "unlearned", 101: "bb", 102: "aa"}
+    assert {r["doc_id"]: r["lang"] for r in known} == want and len(known) == len(rows) - 1
+    assert sorted(langid.keep_identified(docs, model).collect(), key=str) == sorted((r for r in docs.collect() if r["doc_id"] != 100), key=str)
+
+    staged = stages["language_id"](spark, docs, SF)
+    assert {r["lang"] for r in staged.where("doc_id in (7, 9)").collect()} == {"aa", "bb"}
+    pieces = stages["packing"](spark, staged, SF).collect()
+    check_packing(pieces, [r[1] for r in rows if r[0] != 100])
+    named = {r["doc_id"]: r["lang"] for r in staged.collect()}
+    assert all(p["lang"] == named[p["doc_id"]] for p in pieces)
+    of = {}
+    for p in pieces:
+        of.setdefault(p["sequence_id"], set()).add(p["lang"])
+    assert all(len(langs) == 1 for langs in of.values()) and {x for langs in of.values() for x in langs} == set(named.values())
+    for group_tokens in (1, 3000):
+        again = packing.pack(docs.repartition(2), corpus_pipeline.TOKENIZER, by="lang", capacity=64, group_tokens=group_tokens).collect()
+        check_packing(again, [r[1] for r in rows], capacity=64)
+        own = {r[0]: r[2] for r in rows}
+        assert len({(p["sequence_id"], own[p["doc_id"]]) for p in again}) == len({p["sequence_id"] for p in again})
