@@ -211,13 +211,14 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
 
 
 def keep_identified(docs: DataFrame, model: Model, text: str = "text", least: float = 0.0, allowed: list[str] | None = None,
-                    lang: str | None = None, sure: float = 0.6) -> DataFrame:
+                    lang: str | None = None, sure: float = 0.6, evidence: int = 32) -> DataFrame:
     """The rows, with all columns, that hold a letter of the labelled texts and whose language is in ``allowed`` (default: any).
 
     A tie between languages is kept, as a short clean text is often one phrase in two of them; ``least``
     asks for a higher score. With ``lang``, that column becomes the identified language where it is null, or where
-    it names another language of the model and the score is ``sure`` or more (0.6: any other language needs half as
-    many bits again); a label that no labelled text bears is left alone. A model without languages can't judge:
+    it names another language of the model, the score is ``sure`` or more (0.6: any other language needs half as
+    many bits again) and the text parses into ``evidence`` phrases or more (fewer may be a quotation that one language's
+    labelled text holds); a label that no labelled text bears is left alone. A model without languages can't judge:
     every row stays as it is, and ``allowed`` is an error.
     """
     if not model.langs:
@@ -228,14 +229,19 @@ def keep_identified(docs: DataFrame, model: Model, text: str = "text", least: fl
     at = docs.columns.index(text)
     label = None if lang is None else docs.columns.index(lang)
 
+    def wrong(old: str | None, t: str | None, pred: str, score: float) -> bool:
+        known = shared.value
+        return old in known.langs and old != pred and score >= sure and \
+            known.phrases([known.encode(t)])[0, known.langs.index(pred)] >= evidence
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, at):
             texts = part.column(at).to_pylist()
             found = shared.value.predict(texts)
             if label is not None:
                 own = part.column(label)
-                named = [pred if old is None and pred != UNKNOWN or old in shared.value.langs and score >= sure else old
-                         for old, (pred, score) in zip(own.to_pylist(), found, strict=True)]
+                named = [pred if pred != UNKNOWN and (old is None or wrong(old, t, pred, score)) else old
+                         for old, t, (pred, score) in zip(own.to_pylist(), texts, found, strict=True)]
                 part = part.set_column(label, part.schema.field(label), pa.array(named, own.type))
             yield part.filter(pa.array([pred != UNKNOWN and score >= least and (allowed is None or pred in allowed) and shared.value.holds(t)
                                         for t, (pred, score) in zip(texts, found, strict=True)], pa.bool_()))

@@ -71,21 +71,21 @@ def test_registered():
 
 
 def test_the_identified_language_reaches_the_sequences(spark, make_docs):
-    """Null and clearly wrong labels become the identified language, ties and other labels stay, and no sequence mixes languages."""
+    """Null and clearly wrong labels become the identified language, ties, short texts and other labels stay, and no sequence mixes languages."""
     rng = np.random.default_rng(3)
     words = {lang: ["".join(rng.choice(list(alphabet), 5)) for _ in range(60)] for lang, alphabet in (("aa", "abcdefg"), ("bb", "hijklmn"))}
 
     def text(lang):
-        return " ".join(rng.choice(words[lang], 40))
+        return " ".join(rng.choice(words[lang], 150))
 
     truth = {i: "aa" if i % 3 else "bb" for i in range(90)}
     rows = [(i, text(lang), {7: None, 9: None, 11: "bb", 15: "aa", 20: "unlearned"}.get(i, lang), "s", 1) for i, lang in truth.items()]
-    rows += [(100, "12 !", "aa", "s", 1), (101, "a h", "bb", "s", 1), (102, "a h", "aa", "s", 1)]
+    rows += [(100, "12 !", "aa", "s", 1), (101, "a h", "bb", "s", 1), (102, "a h", "aa", "s", 1), (103, " ".join(words["aa"][:3]), "bb", "s", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     stages = dict(corpus_pipeline.STAGES)
     model = langid.learn(docs.where("lang in ('aa', 'bb') and doc_id not in (11, 15)").where("doc_id < 100"))
     known = langid.keep_identified(docs, model, lang="lang").collect()
-    want = {**truth, 20: "unlearned", 101: "bb", 102: "aa"}
+    want = {**truth, 20: "unlearned", 101: "bb", 102: "aa", 103: "bb"}
     assert {r["doc_id"]: r["lang"] for r in known} == want and len(known) == len(rows) - 1
     assert sorted(langid.keep_identified(docs, model).collect(), key=str) == sorted((r for r in docs.collect() if r["doc_id"] != 100), key=str)
 
